@@ -29,5 +29,26 @@ a AS (SELECT *, coalesce(sum(size) FILTER (rank IS NOT NULL) OVER (PARTITION BY
 SELECT doc_id, size, source_size, target,
        (sure + CASE WHEN rank IS NOT NULL AND so_far + size / 2.0::DOUBLE <= left_over THEN 1 ELSE 0 END) * size AS taken
 FROM a
+""",
+    "op6_exact_top_k": r"""
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND list_bool_and([x IS NOT NULL AND isfinite(x::DOUBLE) for x in embedding])),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op9_warc_archive": r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first_id FROM p),
+t AS (SELECT *, payload_bytes >= 1000 AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS again FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_id END AS refers_to
+FROM t
 """,
 }
