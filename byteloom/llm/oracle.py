@@ -50,5 +50,18 @@ t AS (SELECT *, payload_bytes >= 1000 AND first_id IS NOT NULL AND page_id IS DI
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN again THEN first_id END AS refers_to
 FROM t
+""",
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] END) AS s FROM w WHERE len(w) > 0),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM x WHERE shared >= 0.8 * (na + nb - shared) - 1e-9),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT doc_id, min(seen) AS class_id FROM r GROUP BY doc_id),
+n AS (SELECT a AS doc_id, count(*) AS links FROM l GROUP BY a),
+k AS (SELECT doc_id, count(*) OVER (PARTITION BY list_sort(s)) AS copies FROM s)
+SELECT c.doc_id, c.class_id, coalesce(n.links, 0)::BIGINT AS links, coalesce(k.copies, 1)::BIGINT AS copies
+FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
 }
