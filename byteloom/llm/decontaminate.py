@@ -14,7 +14,7 @@ windows are thinned by the set of benchmark hashes, if that is within MOST_BROAD
 benchmark is joined without that step.
 
 Defined cases: null and empty texts, on either side, match nothing; repeated documents and items
-are matched each; a null doc_id keeps its rows (grouped with other nulls); other columns are ignored;
+are matched each; documents are told apart by doc_id and text, so a null doc_id is an id like any other; other columns are ignored;
 an empty table gives an empty result.
 """
 
@@ -118,7 +118,7 @@ def _windows(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return w[at] ^ np.uint64(n), at
 
 
-_SCHEMA = "h long, id long, n int, pos int, tokens int, slots array<string>"
+_SCHEMA = "h long, id long, text_hash long, n int, pos int, tokens int, slots array<string>"
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -139,8 +139,8 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                     w, at = _windows(h, text, n)
                     fit = np.ones(1, bool)
                 for x, p in zip(w[fit].view(np.int64), at[fit]):
-                    out.append((x, item, n, p, len(h), _slots(code, kind, ids, p, n)))
-            yield pd.DataFrame(out, columns=["h", "id", "n", "pos", "tokens", "slots"])
+                    out.append((x, item, 0, n, p, len(h), _slots(code, kind, ids, p, n)))
+            yield pd.DataFrame(out, columns=["h", "id", "text_hash", "n", "pos", "tokens", "slots"])
 
     return items.mapInPandas(run, _SCHEMA)
 
@@ -173,16 +173,16 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
                         hit = hit[(found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == w[hit])] if len(keys) else hit[:0]
                         w, at = w[hit], at[hit]
                     t = text[at]
-                    out += zip(w.view(np.int64), part["id"].iloc[t], [n] * len(w), at - first[t], count[t], (_slots(code, kind, ids, p, n) for p in at))
-                yield pd.DataFrame(out, columns=["h", "id", "n", "pos", "tokens", "slots"])
+                    out += zip(w.view(np.int64), part["id"].astype("Int64").to_numpy(dtype=object)[t], part["text_hash"].to_numpy()[t], [n] * len(w), at - first[t], count[t], (_slots(code, kind, ids, p, n) for p in at))
+                yield pd.DataFrame(out, columns=["h", "id", "text_hash", "n", "pos", "tokens", "slots"])
 
     return docs.mapInPandas(run, _SCHEMA)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = MIN_COVER) -> DataFrame:
-    """doc_id, item_id, windows, covered, item_tokens, changed_slots, occurrences of every contaminated (document, item)."""
+    """doc_id, text_hash, item_id, windows, covered, item_tokens, changed_slots, occurrences of every contaminated (document, item)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bench = common.stored(benchmark_windows(items, window), spark)
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most `window` values, or lengths of items made of slots
@@ -192,18 +192,25 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int
         wanted = bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)
     found = document_windows(texts, lengths, wanted).alias("d").join(bench.alias("b"), (F.col("d.h") == F.col("b.h")) & (F.col("d.n") == F.col("b.n")))
     found = found.select(
-        F.col("d.id").alias("doc_id"), F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.tokens").alias("item_tokens"),
+        F.col("d.id").alias("doc_id"), "d.text_hash", F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.tokens").alias("item_tokens"),
         F.sequence("b.pos", F.col("b.pos") + F.col("b.n") - 1).alias("covers"), F.arrays_zip(F.col("b.slots").alias("item"), F.col("d.slots").alias("doc")).alias("pairs"),
     )
     # an occurrence has at most as many windows as the item
-    each = found.groupBy("doc_id", "item_id", "shift", "item_tokens").agg(
+    each = found.groupBy("doc_id", "text_hash", "item_id", "shift", "item_tokens").agg(
         F.count("*").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
     n = F.size("pairs")
     consistent = (n == F.size(F.array_distinct(F.col("pairs.item")))) & (n == F.size(F.array_distinct(F.col("pairs.doc"))))
     each = each.where(consistent & (F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens"))))
     each = each.withColumn("changed", F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])))
-    return each.groupBy("doc_id", "item_id").agg(
+    return each.groupBy("doc_id", "text_hash", "item_id").agg(
         F.sum("windows").alias("windows"), F.max("covered").cast("long").alias("covered"), F.max("item_tokens").cast("long").alias("item_tokens"),
         F.min("changed").cast("long").alias("changed_slots"), F.count("*").alias("occurrences"),
     )
+
+
+def clean_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents in which nothing was found, with their own columns."""
+    bad = found.select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_h")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.join(bad, (F.xxhash64(text) == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
