@@ -32,7 +32,7 @@ from . import common
 MAGIC = b"BWM1"
 BLOCK = 512
 #: Ids at which a shard is closed; words that a worker's memory of encodings holds.
-SHARD_IDS, REMEMBERED = 4_000_000, 500_000
+SHARD_IDS, REMEMBERED = 4_000_000, 1_200_000
 
 
 class WaveletMatrix:
@@ -175,6 +175,8 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.nd
 
 #: White space that stands in a run of three or has two spaces: there, a cut at a space could differ from the whole text.
 _RUNS = re.compile(r"  |\s\s\s")
+#: Letters, then ASCII punctuation without an apostrophe (contractions are pre-tokens too).
+_TWO = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -183,7 +185,8 @@ class Encoder:
 
     Byte-level BPE first parts a text where a space precedes a word, and merges nothing across that, so a
     text's ids are those of its stretches (a stretch keeps the space before it). Each distinct stretch
-    is encoded once by the library. The memory is emptied when it is full.
+    is encoded once by the library. The memory is emptied when it is full. Keys: a string stands for itself
+    with a space before it, a tuple for its string without one.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -204,20 +207,27 @@ class Encoder:
         if not self.by_stretch:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         cut = [_SAFE_CUT.split(t) if _RUNS.search(t) else t.split(" ") for t in texts]
-        firsts = {c[0] for c in cut}
-        rest = set()
+        rest, firsts = set(), {(c[0],) for c in cut}
         for c in cut:
             rest.update(c[1:])
         memory = self.memory
-        new = [s for s in rest if s not in memory]
-        if len(memory) + len(new) > self.most:
+        new = rest.difference(memory)
+        if len(memory) + len(new) + len(firsts) > self.most:
             memory.clear()
-            new = list(rest)
-        first = [s for s in firsts if (s,) not in memory]
-        for keys, strings in ((new, [" " + s for s in new]), ([(s,) for s in first], first)):
-            for k in range(0, len(strings), 4096):
-                for key, e in zip(keys[k : k + 4096], self.tokenizer.encode_batch(strings[k : k + 4096], add_special_tokens=False)):
-                    memory[key] = np.array(e.ids, self.kind).tobytes()
+            new = rest
+        # letters before plain punctuation are a pre-token of their own: such a stretch is the two parts' ids on end
+        two = {s: m.groups() for s in new if (m := _TWO.fullmatch(s))}
+        alone = {x for s in new if s not in two for x in (s,)} | firsts
+        for word, tail in two.values():
+            alone.add(word)
+            alone.add((tail,))
+        keys = [x for x in alone if x not in memory]
+        for k in range(0, len(keys), 4096):
+            strings = [x[0] if isinstance(x, tuple) else " " + x for x in keys[k : k + 4096]]
+            for key, e in zip(keys[k : k + 4096], self.tokenizer.encode_batch(strings, add_special_tokens=False)):
+                memory[key] = np.array(e.ids, self.kind).tobytes()
+        for s, (word, tail) in two.items():
+            memory[s] = memory[word] + memory[(tail,)]
         return [memory[(c[0],)] + b"".join(map(memory.__getitem__, c[1:])) for c in cut]
 
 
