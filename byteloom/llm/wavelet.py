@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,6 +178,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.nd
 _RUNS = re.compile(r"  |\s\s\s")
 #: Letters, then ASCII punctuation without an apostrophe (contractions are pre-tokens too).
 _TWO = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -201,6 +203,17 @@ class Encoder:
         self.by_stretch = state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.most, self.memory = most, {}
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters alone, many in one call: each is one pre-token, whose number comes with every id."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            e = self.tokenizer.encode("".join(" " + w for w in part), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            cut = np.searchsorted(of, np.arange(len(part) + 1)) * self.kind.itemsize
+            if len(of) and of[-1] == len(part) - 1:
+                raw, cut = array(self.kind.char, e.ids).tobytes(), cut.tolist()
+                self.memory.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.kind."""
         texts = [t.encode("utf-8", "replace").decode() for t in texts]
@@ -222,10 +235,14 @@ class Encoder:
             alone.add(word)
             alone.add((tail,))
         keys = [x for x in alone if x not in memory]
-        for k in range(0, len(keys), 4096):
-            strings = [x[0] if isinstance(x, tuple) else " " + x for x in keys[k : k + 4096]]
-            for key, e in zip(keys[k : k + 4096], self.tokenizer.encode_batch(strings, add_special_tokens=False)):
-                memory[key] = np.array(e.ids, self.kind).tobytes()
+        plain = [x for x in keys if isinstance(x, str) and _LETTERS.fullmatch(x)]
+        self._learn_words(plain)
+        rest = [x for x in keys if x not in memory]
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            strings = [x[0] if isinstance(x, tuple) else " " + x for x in part]
+            for key, e in zip(part, self.tokenizer.encode_batch(strings, add_special_tokens=False)):
+                memory[key] = array(self.kind.char, e.ids).tobytes()
         for s, (word, tail) in two.items():
             memory[s] = memory[word] + memory[(tail,)]
         return [memory[(c[0],)] + b"".join(map(memory.__getitem__, c[1:])) for c in cut]
