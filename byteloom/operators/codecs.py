@@ -190,7 +190,7 @@ def huffman(hist: DataFrame) -> DataFrame:
     # at most 256 counts a document
     wide = hist.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     wide = wide.select("doc_id", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("long"))).alias("counts"))
-    lengths = wide.mapInPandas(run, "doc_id long, lengths array<int>").select("doc_id", F.posexplode("lengths").alias("b", "length")).where("length > 0")
+    lengths = wide.mapInPandas(run, f"doc_id {dict(hist.dtypes)['doc_id']}, lengths array<int>").select("doc_id", F.posexplode("lengths").alias("b", "length")).where("length > 0")
     from pyspark.sql import Window as W
 
     order = W.partitionBy("doc_id").orderBy("length", "b")

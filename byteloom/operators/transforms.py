@@ -7,6 +7,7 @@ same transforms for large blocks.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bytes import byte_values, latin
@@ -86,16 +87,14 @@ def rle(data: DataFrame) -> DataFrame:
 def sort_matches(blocks: DataFrame, candidates: int = 8, least: int = 4, window: int = 65535, longest: int = 260) -> DataFrame:
     """(doc_id, block_idx, pos, offset, length): for each place the longest match among the last `candidates` places that
     begin with the same four bytes; the earliest of equal ones; lengths are cut at `longest`."""
-    data, n = F.col("data"), F.octet_length("data")
-    word = lambda p: F.substring(data, p + 1, F.lit(4))
-
-    def best(p: Column) -> Column:
-        earlier = F.filter(F.sequence(F.lit(0), p - 1), lambda q: word(q) == word(p))
-        earlier = F.filter(F.slice(earlier, F.greatest(F.size(earlier) - candidates, F.lit(0)) + 1, F.lit(candidates)), lambda q: p - q <= window)
-        reach = lambda q: F.array_max(F.filter(F.sequence(F.lit(least), F.least(n - p, F.lit(longest))), lambda k: F.substring(data, q + 1, k) == F.substring(data, p + 1, k)))
-        found = F.transform(earlier, lambda q: F.struct(reach(q).alias("length"), (p - q).alias("offset")))
-        return F.struct(p.alias("pos"), F.array_max(found).alias("best"))  # larger offset: earlier source
-
-    # a match needs four bytes before the end
-    rows = blocks.where(n > least).select("doc_id", "block_idx", F.explode(F.transform(F.sequence(F.lit(1), n - least), best)).alias("m"))
-    return rows.where("m.best is not null").select("doc_id", "block_idx", "m.pos", F.col("m.best.offset").alias("offset"), F.col("m.best.length").alias("length"))
+    # dealt by document while the rows are still blocks; the windows below keep to these partitions
+    rows = blocks.repartition("doc_id").withColumn("n", F.octet_length("data")).where(F.col("n") > least)
+    rows = rows.select("doc_id", "block_idx", "data", "n", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("pos"))
+    same = W.partitionBy("doc_id", "block_idx", "word").orderBy("pos").rowsBetween(-candidates, -1)
+    rows = rows.withColumn("word", F.substring("data", F.col("pos") + 1, F.lit(4))).withColumn("earlier", F.collect_list("pos").over(same)).where(F.size("earlier") > 0)
+    part = lambda at, k: F.substring("data", at + 1, k)
+    p = F.col("pos")
+    reach = lambda q: F.array_max(F.filter(F.sequence(F.lit(least), F.least(F.col("n") - p, F.lit(longest))), lambda k: part(q, k) == part(p, k)))
+    found = F.transform(F.filter("earlier", lambda q: p - q <= window), lambda q: F.struct(reach(q).alias("length"), (p - q).alias("offset")))
+    rows = rows.select("doc_id", "block_idx", "pos", F.array_max(found).alias("best")).where("best is not null")  # larger offset: earlier source
+    return rows.select("doc_id", "block_idx", "pos", "best.offset", "best.length")
