@@ -94,7 +94,13 @@ def sort_matches(blocks: DataFrame, candidates: int = 8, least: int = 4, window:
     rows = rows.withColumn("word", F.substring("data", F.col("pos") + 1, F.lit(4))).withColumn("earlier", F.collect_list("pos").over(same)).where(F.size("earlier") > 0)
     part = lambda at, k: F.substring("data", at + 1, k)
     p = F.col("pos")
-    reach = lambda q: F.array_max(F.filter(F.sequence(F.lit(least), F.least(F.col("n") - p, F.lit(longest))), lambda k: part(q, k) == part(p, k)))
+    most = F.least(F.col("n") - p, F.lit(longest))
+    # equal prefixes: the length is found by halving steps, as all shorter ones are equal too
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((longest - 1).bit_length()))])
+
+    def reach(q: Column) -> Column:
+        return F.aggregate(steps, F.lit(least), lambda k, step: F.when((k + step <= most) & (part(q, k + step) == part(p, k + step)), k + step).otherwise(k))
+
     found = F.transform(F.filter("earlier", lambda q: p - q <= window), lambda q: F.struct(reach(q).alias("length"), (p - q).alias("offset")))
     rows = rows.select("doc_id", "block_idx", "pos", F.array_max(found).alias("best")).where("best is not null")  # larger offset: earlier source
     return rows.select("doc_id", "block_idx", "pos", "best.offset", "best.length")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bytes as fb
-from ..operators import codecs, stats, transforms
+from ..operators import codecs, lz, rans, stats, transforms
+from ..sources import container
 from ..sources.relations import blocks, detected, docs, table
+from ..streaming import blocks as stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -307,3 +312,74 @@ def compression_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = codecs.encoded(blocks(docs(spark, sf_dir), CODEC_BLOCK), "deflate").groupBy("doc_id").agg(F.sum("original_len").alias("n"), F.sum(F.octet_length("payload")).alias("coded"))
     rows = rows.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return rows.groupBy("lang").agg(F.sum("n").alias("bytes"), F.sum("coded").alias("coded_bytes"), F.round(F.sum("coded") / F.sum("n"), 6).alias("ratio"))
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='byteloom-')).rstrip('/')}/byteloom-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_D} SELECT count(*) FILTER (h <> '') AS values_, sum(len(h) // 2)::BIGINT AS bytes, 128 AS pipeline, true AS same FROM d")
+def framed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' blocks through the container and back, compared block by block."""
+    container.register(spark)
+    folder = _shared(spark, "frames")
+    cut = blocks(docs(spark, sf_dir), CODEC_BLOCK)
+    rows = codecs.encoded(cut, "deflate").select(F.col("block_idx").cast("int"), F.lit(128).alias("pipeline"), "original_len", "crc", "payload")
+    # a container holds one value's blocks in general; here, those of a task
+    rows.write.format("byteloom_container").mode("append").option("path", folder).save()
+    back = codecs.decoded(spark.read.format("byteloom_container").load(folder), "deflate")
+    there, here = back.select(F.sha2("data", 256).alias("k"), "pipeline", F.octet_length("data").alias("n")), cut.select(F.sha2("data", 256).alias("k"), F.octet_length("data").alias("n"))
+    per = there.groupBy("k").agg(F.count("*").alias("a"), F.max("pipeline").alias("pipeline"), F.sum("n").alias("bytes")).join(here.groupBy("k").agg(F.count("*").alias("b")), "k", "full")
+    same = per.agg(F.min(F.col("a").eqNullSafe(F.col("b"))).alias("same"), F.max("pipeline").alias("pipeline"), F.sum("bytes").cast("long").alias("bytes"))
+    number = cut.agg(F.countDistinct("doc_id").alias("values_"))
+    return same.withColumn("one", F.lit(1)).join(number.withColumn("one", F.lit(1)), "one").select("values_", "bytes", "pipeline", "same")  # a row each
+
+
+@query(f"WITH {_D} SELECT doc_id, (len(h) // 2)::BIGINT AS length, md5(h) AS digest FROM d WHERE h <> ''")
+def stream_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' file as a stream of coded blocks, written, read again and put together."""
+    folder = _shared(spark, "stream")
+    schema = table(spark, sf_dir, "documents").select("doc_id", "text").schema
+    values = stream.read_values(spark, f"{sf_dir}/documents.parquet*", schema)
+    stream.start(stream.coded(values, "deflate", CODEC_BLOCK), f"{folder}/out", f"{folder}/state").awaitTermination()
+    back = stream.restored(spark.read.parquet(f"{folder}/out"), "deflate")
+    return back.select("doc_id", F.octet_length("data").cast("long").alias("length"), F.md5(F.hex("data").cast("binary")).alias("digest"))
+
+
+@query()
+def list_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each container its pipeline, blocks, lengths and ratio, from frame headers."""
+    container.register(spark)
+    folder = _shared(spark, "list")
+    rows = codecs.encoded(blocks(docs(spark, sf_dir), CODEC_BLOCK), "deflate").select(F.col("block_idx").cast("int"), F.lit(128).alias("pipeline"), "original_len", "crc", "payload")
+    rows.write.format("byteloom_container").mode("append").option("path", folder).save()
+    frames = spark.read.format("byteloom_container").load(folder)
+    per = frames.groupBy("path", "pipeline").agg(F.count("*").alias("blocks"), F.sum("original_len").alias("original"), F.sum(F.octet_length("payload")).alias("coded"))
+    return per.select("pipeline", "blocks", "original", "coded", F.round(F.col("coded") / F.col("original"), 6).alias("ratio"))
+
+
+LZ_BLOCK = 512
+
+
+@query(f"""WITH {_BLOCKS.format(size=LZ_BLOCK)} SELECT doc_id, block_idx, n AS length, true AS same FROM k WHERE n > 0""")
+def lz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks parsed to tokens by their longest earlier matches, and rebuilt from the tokens."""
+    cut = blocks(docs(spark, sf_dir), LZ_BLOCK)
+    back = lz.restored(lz.tokens(cut)).withColumnRenamed("data", "back")
+    return cut.join(back, ["doc_id", "block_idx"], "left").select("doc_id", "block_idx", F.octet_length("data").alias("length"), F.coalesce(F.col("data") == F.col("back"), F.lit(False)).alias("same"))
+
+
+@query()
+def lz_stream_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols and ideal bits of the flag, literal, offset and length streams of each document's parse."""
+    return lz.stream_sizes(lz.tokens(blocks(docs(spark, sf_dir), LZ_BLOCK)))
+
+
+@query(f"""WITH {_BLOCKS.format(size=LZ_BLOCK)} SELECT doc_id, block_idx, n AS length, true AS same FROM k WHERE n > 0""")
+def rans_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks through a range coder with a table per document from the normalised histogram, and back."""
+    cut = blocks(docs(spark, sf_dir), LZ_BLOCK)
+    table_ = stats.normalised(stats.histogram(docs(spark, sf_dir)), 12)
+    return rans.round_trip(cut, table_).drop("coded_len")

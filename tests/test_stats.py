@@ -182,3 +182,37 @@ def test_gzip_facts(data):
     import zlib
 
     assert {k: (r["method"], r["isize"], r["crc"]) for k, r in got.items()} == {k: (8, len(v), zlib.crc32(v)) for k, v in VECTORS.items()}
+
+
+def test_lz_tokens(data):
+    from byteloom.operators import lz
+
+    cut = blocks(data, 128)
+    own = {(r["doc_id"], r["block_idx"]): bytes(r["data"]) for r in cut.collect()}
+    best = {}
+    for r in transforms.sort_matches(cut).collect():
+        best[r["doc_id"], r["block_idx"], r["pos"]] = (r["length"], r["offset"])
+    for (k, b), x in own.items():
+        for p in range(len(x)):
+            same = [q for q in range(p) if x[q : q + 4] == x[p : p + 4] and p + 4 <= len(x)][-8:]
+            lengths = [(next((n for n in range(len(x) - p + 1) if x[q : q + n] != x[p : p + n]), len(x) - p + 1) - 1, p - q) for q in same]
+            assert best.get((k, b, p)) == (max(lengths) if lengths else None)
+    for lazy in (True, False):
+        back = {(r["doc_id"], r["block_idx"]): bytes(r["data"]) for r in lz.restored(lz.tokens(cut, lazy)).collect()}
+        assert back == own
+    with pytest.raises(ValueError):
+        lz.unparse([(97, None, None), (None, 2, 3)])
+
+
+def test_rans(data):
+    from byteloom.operators import rans
+
+    got = rans.round_trip(blocks(data, 256), stats.normalised(stats.histogram(data), 12)).collect()
+    assert sum(r["length"] for r in got) == sum(map(len, VECTORS.values())) and all(r["same"] for r in got)
+    import numpy as np
+
+    f = np.zeros((1, 256), np.int64)
+    f[0, :2] = 2048
+    state, words = rans.encode([np.array([0, 1] * 50)], f, np.cumsum(f, axis=1) - f)
+    with pytest.raises(ValueError):
+        rans.decode(state, [w[:-1] for w in words], np.array([100]), f, np.cumsum(f, axis=1) - f)
