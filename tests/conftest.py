@@ -20,14 +20,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def small_docs(spark):
-    """A table with nulls, empty and long values, ties, repeated rows and a clashing extra column."""
-    schema = "doc_id long, text string, lang string, source string, n_chars long, size long, rank double"
-
-    def make(rows):
-        return spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), 1, 0.5) for i, t, s in rows], schema)
-
-    return make
