@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import re
 import tempfile
 import uuid
@@ -75,6 +78,22 @@ def need(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+_kept: dict[object, object] = {}
+
+
+def kept(name: object, make):
+    """What a Python worker remembers between tasks: of one operator at a time, so that stages don't add up their memories."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        if libc := ctypes.util.find_library("c"):
+            trim = getattr(ctypes.CDLL(libc), "malloc_trim", None)  # gives freed memory back to the machine
+            if trim:
+                trim(0)
+        _kept[name] = make()
+    return _kept[name]
+
+
 class Lexicon:
     """word -> row of growing numpy columns. One per Python worker, so it is emptied at `most` words."""
 

@@ -102,13 +102,10 @@ class Templates:
 
 
 _SLOT = np.array([0] + [xxhash.xxh3_64_intdigest(x.encode()) for x in (NUM, UNIT, NAME)], np.uint64)
-_templates: list[Templates] = []
 
 
 def _worker() -> Templates:
-    if not _templates:
-        _templates.append(Templates())
-    return _templates[0]
+    return common.kept("templates", Templates)
 
 
 def _windows(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -41,7 +41,7 @@ from . import common
 from .components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
-LEAF, BLOCK, BLOCK_SHINGLES, DEPTH, SKETCH = 256, 1024, 600_000, 5, 64
+LEAF, BLOCK, BLOCK_SHINGLES, DEPTH, SKETCH = 256, 512, 300_000, 5, 64
 _ODD = (common.mix(np.arange(1, 4096, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
@@ -55,17 +55,12 @@ def runs_needed(threshold: float, recall: float, depth: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold * stay))
 
 
-_lexicon: list[common.Lexicon] = []
-
-
 def shingles(text: str, n: int) -> np.ndarray:
     """The distinct shingle hashes of a text, in order."""
-    if not _lexicon:
-        _lexicon.append(common.Lexicon())
     ws = common.words(text.lower())
     if not ws:
         return np.empty(0, np.uint64)
-    return np.unique(common.windows(_lexicon[0](ws), min(n, len(ws))))
+    return np.unique(common.windows(common.kept("shingles", common.Lexicon)(ws), min(n, len(ws))))
 
 
 def signatures(rows: DataFrame, runs: int, n: int) -> DataFrame:

@@ -84,22 +84,16 @@ class Trie:
         return -tokens, -bytes_
 
 
-_pieces: dict[str, Pieces] = {}
-_known: dict[str, dict[str, tuple[int, int]]] = {}
-
-
 def count_words(path: str, distinct: set[str]) -> dict[str, tuple[int, int]]:
     """The worker's memory of counts, with all the given words in it."""
-    if path not in _pieces:
-        _pieces[path], _known[path] = Pieces(path), {}
-    known = _known[path]
+    pieces, known = common.kept(("pieces", path), lambda: (Pieces(path), {}))
     new = [w for w in distinct if w not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = list(distinct)
     new.sort()
     for k in range(0, len(new), 20_000):  # neighbours in order share most of their prefixes; a trie's memory stays bounded
-        trie = Trie(_pieces[path])
+        trie = Trie(pieces)
         for w in new[k : k + 20_000]:
             known[w] = trie.count(MARK + w)
     return known

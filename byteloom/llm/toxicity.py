@@ -43,7 +43,7 @@ TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
 ORDER, DECAY, FRAGMENT, LONGEST = 3, 0.6, 12, 8
 TELLING, COMMON_WORDS, CANDIDATES, WITNESSES, LEAST_Z, LETTERS = 32, 4, 20_000, 8, 5.0, 0.6
 FOLD_BY, HELD_OUT, CUT = 4, 2, 0.3
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -246,15 +246,11 @@ class Reader:
 
 #: The margin of a sentence with nothing to compare.
 NOTHING = -2.0
-_readers: dict[str, Reader] = {}
 
 
 def document_features(texts: list[str], model: Model, key: str) -> np.ndarray:
-    """Features of whole texts; key names the model among the worker's readers."""
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(model)
-    return _readers[key](texts)
+    """Features of whole texts; key names the model in what the worker remembers."""
+    return common.kept(("toxicity", key), lambda: Reader(model))(texts)
 
 
 def _grams(text: str) -> set[str]:

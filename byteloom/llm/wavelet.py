@@ -33,7 +33,7 @@ from . import common
 MAGIC = b"BWM1"
 BLOCK = 512
 #: Ids at which a shard is closed; words that a worker's memory of encodings holds.
-SHARD_IDS, REMEMBERED = 4_000_000, 1_200_000
+SHARD_IDS, REMEMBERED = 4_000_000, 1_000_000
 
 
 class WaveletMatrix:
@@ -248,14 +248,9 @@ class Encoder:
         return [memory[(c[0],)] + b"".join(map(memory.__getitem__, c[1:])) for c in cut]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return common.kept(("encoder", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
