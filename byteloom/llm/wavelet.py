@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,8 +34,8 @@ from . import common
 
 MAGIC = b"BWM1"
 BLOCK = 512
-#: Ids at which a shard is closed; words that a worker's memory of encodings holds.
-SHARD_IDS, REMEMBERED = 4_000_000, 1_000_000
+#: Ids at which a shard is closed; words that a worker's memory of encodings holds; characters encoded at a time.
+SHARD_IDS, REMEMBERED, CHUNK = 4_000_000, 1_000_000, 4_000_000
 
 
 class WaveletMatrix:
@@ -138,8 +140,8 @@ class WaveletMatrix:
         for level in reversed(range(self.bits)):
             bit = np.unpackbits(self.plane(level)[0], count=self.n).view(bool)
             z, out = self.zeros[level], np.empty(self.n, kind)
-            out[~bit] = low[:z]
-            out[bit] = low[z:] | kind(1 << (self.bits - 1 - level))
+            out[np.flatnonzero(~bit)] = low[:z]
+            out[np.flatnonzero(bit)] = low[z:] | kind(1 << (self.bits - 1 - level))
             low = out
         return low
 
@@ -165,20 +167,19 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.nd
         per_block = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), BLOCK // 8)) if len(plane) else np.empty(0, np.int64)
         add(f"plane{level}", plane.tobytes())
         add(f"ranks{level}", np.concatenate([[0], np.cumsum(per_block)]).astype("<u4").tobytes())
-        zero = cur[~bit]
+        zero = cur[np.flatnonzero(~bit)]  # positions, for speed: masks of mixed bits are slower
         zeros.append(len(zero))
-        cur = np.concatenate([zero, cur[bit]])
+        cur = np.concatenate([zero, cur[np.flatnonzero(bit)]])
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "parts": parts}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *body])
 
 
 # -- encoding ----------------------------------------------------------------------------------
 
-#: White space that stands in a run of three or has two spaces: there, a cut at a space could differ from the whole text.
-_RUNS = re.compile(r"  |\s\s\s")
-#: Letters, then ASCII punctuation without an apostrophe (contractions are pre-tokens too).
-_TWO = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: White space beside white space: there, a cut could differ from the whole text.
+_RUNS_RE2 = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
+#: Letters, then maybe ASCII punctuation without an apostrophe (contractions are pre-tokens too).
+_WORD_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -186,9 +187,9 @@ class Encoder:
     """A `tokenizers` file's encoding of whole texts, with what it gave for each stretch between spaces remembered.
 
     Byte-level BPE first parts a text where a space precedes a word, and merges nothing across that, so a
-    text's ids are those of its stretches (a stretch keeps the space before it). Each distinct stretch
-    is encoded once by the library. The memory is emptied when it is full. Keys: a string stands for itself
-    with a space before it, a tuple for its string without one.
+    text's ids are those of its stretches (a stretch keeps the space before it); a lone line break is such a
+    border too. Each distinct stretch is encoded once by the library. The memory is emptied when it is full. Keys: a
+    string stands for itself with a space before it unless it begins with a line break, a tuple for its string alone.
     """
 
     def __init__(self, path: str, most: int = REMEMBERED):
@@ -201,51 +202,99 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         state = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.by_stretch = state.get("type") == "ByteLevel" and state.get("use_regex", True) and not state.get("add_prefix_space") and self.tokenizer.normalizer is None
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(1 << self.bits)])
         self.most, self.memory = most, {}
 
     def _learn_words(self, words: list[str]) -> None:
-        """Words of letters alone, many in one call: each is one pre-token, whose number comes with every id."""
+        """Words of letters alone, many in one call: each is one pre-token, and only its first id begins with a space."""
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            e = self.tokenizer.encode("".join(" " + w for w in part), add_special_tokens=False)
-            of = np.array(e.word_ids, np.int64)
-            cut = np.searchsorted(of, np.arange(len(part) + 1)) * self.kind.itemsize
-            if len(of) and of[-1] == len(part) - 1:
-                raw, cut = array(self.kind.char, e.ids).tobytes(), cut.tolist()
+            (e,) = self.tokenizer.encode_batch_fast(["".join(" " + w for w in part)], add_special_tokens=False)
+            ids = np.array(e.ids, self.kind)
+            cut = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.kind.itemsize
+            if len(cut) == len(part) + 1:
+                raw, cut = ids.tobytes(), cut.tolist()
                 self.memory.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of self.kind."""
-        texts = [t.encode("utf-8", "replace").decode() for t in texts]
-        if not self.by_stretch:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        cut = [_SAFE_CUT.split(t) if _RUNS.search(t) else t.split(" ") for t in texts]
-        rest, firsts = set(), {(c[0],) for c in cut}
-        for c in cut:
-            rest.update(c[1:])
+    def _learn(self, words: list[str], others: list) -> None:
+        """Encodes words and other stretches that are not remembered yet."""
         memory = self.memory
-        new = rest.difference(memory)
-        if len(memory) + len(new) + len(firsts) > self.most:
+        self._learn_words(words)
+        others += [x for x in words if x not in memory]
+        for k in range(0, len(others), 4096):
+            part = others[k : k + 4096]
+            strings = [x[0] if isinstance(x, tuple) else x if x.startswith("\n") else " " + x for x in part]
+            for key, e in zip(part, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)):
+                memory[key] = array(self.kind.char, e.ids).tobytes()
+
+    def _remember(self, rest: list[str], firsts: list[str]) -> None:
+        """Brings stretches with white space before them, and the first ones of texts, into the memory."""
+        memory = self.memory
+        new, begin = [x for x in rest if x not in memory], {(x,) for x in firsts}
+        if len(memory) + len(new) + len(begin) > self.most:
             memory.clear()
             new = rest
         # letters before plain punctuation are a pre-token of their own: such a stretch is the two parts' ids on end
-        two = {s: m.groups() for s in new if (m := _TWO.fullmatch(s))}
-        alone = {x for s in new if s not in two for x in (s,)} | firsts
-        for word, tail in two.values():
-            alone.add(word)
-            alone.add((tail,))
-        keys = [x for x in alone if x not in memory]
-        plain = [x for x in keys if isinstance(x, str) and _LETTERS.fullmatch(x)]
-        self._learn_words(plain)
-        rest = [x for x in keys if x not in memory]
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            strings = [x[0] if isinstance(x, tuple) else " " + x for x in part]
-            for key, e in zip(part, self.tokenizer.encode_batch(strings, add_special_tokens=False)):
-                memory[key] = array(self.kind.char, e.ids).tobytes()
-        for s, (word, tail) in two.items():
-            memory[s] = memory[word] + memory[(tail,)]
-        return [memory[(c[0],)] + b"".join(map(memory.__getitem__, c[1:])) for c in cut]
+        words, others, two = set(), [x for x in begin if x not in memory], []
+        for x in new:
+            m = _WORD_TAIL.fullmatch(x)
+            if not m:
+                others.append(x)
+            elif m[2]:
+                two.append((x, m[1], (m[2],)))
+            else:
+                words.add(x)
+        words.update([w for _, w, _ in two if w not in memory])
+        others += {t for _, _, t in two if t not in memory and t not in begin}
+        self._learn(list(words), others)
+        for x, word, tail in two:
+            memory[x] = memory[word] + memory[tail]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of self.kind."""
+        try:
+            whole = pa.array(texts, pa.large_string())
+        except UnicodeEncodeError:  # lone surrogates
+            texts = [t.encode("utf-8", "replace").decode() for t in texts]
+            whole = pa.array(texts, pa.large_string())
+        if not self.by_stretch:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        odd = pc.match_substring_regex(whole, _RUNS_RE2).to_numpy(zero_copy_only=False)
+        by_rule = pa.array([_SAFE_CUT.split(texts[k]) for k in np.flatnonzero(odd)], pa.large_list(pa.large_string()))
+        cut = pa.concat_arrays([pc.split_pattern(pc.replace_substring(whole.filter(pa.array(~odd)), "\n", " \n"), " ").cast(by_rule.type), by_rule])
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        begins = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy())])
+        stretches = cut.flatten()
+        coded, first = stretches.dictionary_encode(), stretches.take(pa.array(begins[:-1])).dictionary_encode()
+        distinct, heads = (x.dictionary.to_numpy(zero_copy_only=False).tolist() for x in (coded, first))
+        self._remember(distinct, heads)
+        found = [self.memory[x] for x in distinct] + [self.memory[(x,)] for x in heads]
+        code = coded.indices.to_numpy().astype(np.int64)
+        code[begins[:-1]] = first.indices.to_numpy() + len(distinct)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(found), self.kind)
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(start[code] - ends + n, n) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], ends])[begins]
+        out: list[bytes] = [b""] * len(texts)
+        for k, a, b in zip(order.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            out[k] = ids[a:b].tobytes()
+        return out
+
+
+def spans_of(texts: list[str], most: int = CHUNK) -> Iterator[slice]:
+    """Cuts a list of texts into runs of about `most` characters; a longer text is a run of its own."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        if k > begin and held + len(t) > most:
+            yield slice(begin, k)
+            begin, held = k, 0
+        held += len(t)
+    if texts:
+        yield slice(begin, len(texts))
 
 
 def encoder(path: str) -> Encoder:
@@ -276,8 +325,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids:
 
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for k in range(0, len(texts), 256):
-                for doc_id, ids in zip(pdf["doc_id"].iloc[k : k + 256], code(texts[k : k + 256])):
+            for span in spans_of(texts):
+                for doc_id, ids in zip(pdf["doc_id"].iloc[span], code(texts[span])):
                     held.append((doc_id, ids + end))
                     size += len(ids) // code.kind.itemsize + 1
                     if size >= shard_ids:
