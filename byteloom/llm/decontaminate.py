@@ -8,8 +8,10 @@ Matched windows on one diagonal (the same shift between document and item) are o
 if its slots are consistent (one value of the item always stands against one value of the document, and
 the reverse, per type) and its windows cover at least MIN_COVER tokens, or the whole item if it is shorter.
 
-Windows with fewer than half literal tokens are too general to match by; an item without any
-other window is taken as one window of its whole length. Before the join, documents'
+Windows with fewer than half literal tokens are too general to match by their template. They match by their
+very words and numbers instead, unless they repeat one or two of them. An item of which the other windows cover less
+than an occurrence needs is also taken as one window of its whole length, so a copy with other values is found
+if it is whole. Before the join, documents'
 windows are thinned by the set of benchmark hashes, if that is within MOST_BROADCAST; a larger
 benchmark is joined without that step.
 
@@ -75,7 +77,7 @@ class Templates:
             self.slot.append(core.lower())
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Over all texts on end: hash, is-slot kind (0 literal, 1 num, 2 unit, 3 name), word number, index of the text."""
+        """Over all texts on end: hash of the word, is-slot kind (0 literal, 1 num, 2 unit, 3 name), word number, index of the text."""
         lines = [[common.words(x) for x in t.split("\n")] for t in texts]
         flat = [w for t in lines for x in t for w in x]
         new = set(flat).difference(self.ids)
@@ -98,7 +100,7 @@ class Templates:
         kind[((flags & self.IS_TITLE) > 0) & ~starts] = 3
         kind[((flags & self.IS_UNIT) > 0) & np.concatenate([[False], is_num[:-1]])[: len(ids)]] = 2
         kind[is_num] = 1
-        return np.where(kind == 0, self.hash[ids], _SLOT[kind]), kind, ids, text
+        return self.hash[ids], kind, ids, text
 
 
 _SLOT = np.array([0] + [xxhash.xxh3_64_intdigest(x.encode()) for x in (NUM, UNIT, NAME)], np.uint64)
@@ -108,17 +110,45 @@ def _worker() -> Templates:
     return common.kept("templates", Templates)
 
 
-def _windows(h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of n tokens inside one text, salted by n, and where they start."""
-    w = common.windows(h, n)
-    at = np.flatnonzero(text[: len(w)] == text[n - 1 :][: len(w)]) if len(w) else np.empty(0, np.int64)
-    return w[at] ^ np.uint64(n), at
+class Sums:
+    """Hashes of windows of any length, from sums over the whole sequence: the values of common.windows()."""
+
+    def __init__(self, h: np.ndarray):
+        self.powers, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(h), x)), dtype=np.uint64) for x in (_BASE, _INVERSE))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * inverse[: len(h)], dtype=np.uint64)])
+
+    def __call__(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the windows of n tokens that start at `at`, salted by n."""
+        return common.mix((self.sums[at + n] - self.sums[at]) * self.powers[at + n - 1]) ^ np.uint64(n)
+
+
+_BASE = np.uint64(common._MIX)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Sets hashes of very words apart from those of templates.
+_VERY = np.uint64(0xA24BAED4963EE407)
+
+
+def _starts(text: np.ndarray, n: int) -> np.ndarray:
+    """Where the windows of n tokens inside one text start."""
+    return np.flatnonzero(text[: len(text) - n + 1] == text[n - 1 :]) if len(text) >= n else np.empty(0, np.int64)
+
+
+def _literals(kind: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Number of literal tokens of the windows of n tokens."""
+    sums = np.concatenate([[0], np.cumsum(kind == 0)])
+    return sums[at + n] - sums[at]
+
+
+def _general(h: np.ndarray, kind: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Which windows match by their very words: mostly slots, but of more than two different tokens."""
+    at = at[_literals(kind, at, n) * 2 < n]
+    return at[[len(set(h[p : p + n].tolist())) > 2 for p in at]] if len(at) else at
 
 
 _SCHEMA = "h long, id long, text_hash long, n int, pos int, tokens int, slots array<string>"
 
 
-def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+def benchmark_windows(items: DataFrame, window: int = WINDOW, cover: int = MIN_COVER) -> DataFrame:
     """h, id, n, pos, tokens, slots: the windows by which the benchmark's items are found."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,15 +158,18 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 h, kind, ids, text = code([t])
                 if not len(h):
                     continue
+                template = Sums(np.where(kind == 0, h, _SLOT[kind]))
                 n = min(window, len(h))
-                w, at = _windows(h, text, n)
-                fit = np.array([(kind[p : p + n] == 0).sum() * 2 >= n for p in at], bool)
-                if not fit.any():
-                    n = len(h)
-                    w, at = _windows(h, text, n)
-                    fit = np.ones(1, bool)
-                for x, p in zip(w[fit].view(np.int64), at[fit]):
-                    out.append((x, item, 0, n, p, len(h), _slots(code, kind, ids, p, n)))
+                at = _starts(text, n)
+                fit = at[_literals(kind, at, n) * 2 >= n]
+                found = [(n, fit, template(fit, n))]
+                if len(h) > n:
+                    very = _general(h, kind, at, n)
+                    found.append((n, very, Sums(h)(very, n) ^ _VERY))
+                if len(np.unique(fit[:, None] + np.arange(n))) < min(cover, len(h)):
+                    found.append((len(h), at[:1], template(at[:1], len(h))))
+                for n, at, w in found:
+                    out += [(x, item, 0, n, p, len(h), _slots(code, kind, ids, p, n)) for x, p in zip(w.view(np.int64), at)]
             yield pd.DataFrame(out, columns=["h", "id", "text_hash", "n", "pos", "tokens", "slots"])
 
     return items.mapInPandas(run, _SCHEMA)
@@ -146,7 +179,7 @@ def _slots(code: Templates, kind: np.ndarray, ids: np.ndarray, p: int, n: int) -
     return [f"{kind[k]}{code.slot[ids[k]]}" for k in range(p, p + n) if kind[k]]
 
 
-def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None) -> DataFrame:
+def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | None, window: int = WINDOW) -> DataFrame:
     """The windows of the documents, of all the given lengths; only those with a wanted hash, if such are given."""
     shared = docs.sparkSession.sparkContext.broadcast(None if wanted is None else np.sort(wanted))
 
@@ -155,22 +188,31 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
         if keys is not None:
             sieve = np.zeros(1 << 22, bool)
             sieve[(keys >> np.uint64(42)).astype(np.int64)] = True
+
+        def sift(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if keys is None:
+                return w, at
+            hit = np.flatnonzero(sieve[(w >> np.uint64(42)).astype(np.int64)])
+            found = np.searchsorted(keys, w[hit])
+            hit = hit[(found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == w[hit])] if len(keys) else hit[:0]
+            return w[hit], at[hit]
+
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 code, part = _worker(), pdf.iloc[k : k + 512]
                 h, kind, ids, text = code(part["text"].tolist())
                 first = np.searchsorted(text, np.arange(len(part)))
                 count = np.diff(np.append(first, len(text)))
-                out = []
+                out, template = [], Sums(np.where(kind == 0, h, _SLOT[kind]))
                 for n in lengths:
-                    w, at = _windows(h, text, n)
-                    if keys is not None:
-                        hit = np.flatnonzero(sieve[(w >> np.uint64(42)).astype(np.int64)])
-                        found = np.searchsorted(keys, w[hit])
-                        hit = hit[(found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == w[hit])] if len(keys) else hit[:0]
-                        w, at = w[hit], at[hit]
-                    t = text[at]
-                    out += zip(w.view(np.int64), part["id"].astype("Int64").to_numpy(dtype=object)[t], part["text_hash"].to_numpy()[t], [n] * len(w), at - first[t], count[t], (_slots(code, kind, ids, p, n) for p in at))
+                    at = _starts(text, n)
+                    found = [sift(template(at, n), at)]
+                    if n == window:
+                        very = _general(h, kind, at, n)
+                        found.append(sift(Sums(h)(very, n) ^ _VERY, very))
+                    for w, at in found:
+                        t = text[at]
+                        out += zip(w.view(np.int64), part["id"].astype("Int64").to_numpy(dtype=object)[t], part["text_hash"].to_numpy()[t], [n] * len(w), at - first[t], count[t], (_slots(code, kind, ids, p, n) for p in at))
                 yield pd.DataFrame(out, columns=["h", "id", "text_hash", "n", "pos", "tokens", "slots"])
 
     return docs.mapInPandas(run, _SCHEMA)
@@ -181,13 +223,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bench = common.stored(benchmark_windows(items, window), spark)
-    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most `window` values, or lengths of items made of slots
+    bench = common.stored(benchmark_windows(items, window, cover), spark)
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most `window` values, or lengths of items made mostly of slots
     number = bench.select("h").distinct().count()
     wanted = None
     if number <= MOST_BROADCAST:
         wanted = bench.select("h").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64)
-    found = document_windows(texts, lengths, wanted).alias("d").join(bench.alias("b"), (F.col("d.h") == F.col("b.h")) & (F.col("d.n") == F.col("b.n")))
+    found = document_windows(texts, lengths, wanted, window).alias("d").join(bench.alias("b"), (F.col("d.h") == F.col("b.h")) & (F.col("d.n") == F.col("b.n")))
     found = found.select(
         F.col("d.id").alias("doc_id"), "d.text_hash", F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.tokens").alias("item_tokens"),
         F.sequence("b.pos", F.col("b.pos") + F.col("b.n") - 1).alias("covers"), F.arrays_zip(F.col("b.slots").alias("item"), F.col("d.slots").alias("doc")).alias("pairs"),

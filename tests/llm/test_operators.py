@@ -335,6 +335,23 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.find(none, bench).count() == decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_items_made_mostly_of_slots(spark):
+    item = "What is the sum of 3 4 5 6 7 8 9 10 11?"
+    table = "Values measured in the old town were 12 17 13 19 24 31 8 55 61 72 29 18 44 23 91 37 62 85"
+    bench = spark.createDataFrame([(1, item), (2, table)], "item_id long, text string")
+    part = " ".join(table.split()[7:])
+    rows = [(1, f"{prose(20)} {item} {prose(9)}"), (2, f"{prose(9)} what is the sum of 13 14 15 16 17 18 19 20 21 {prose(3)}"), (3, "what is the sum of 13 14"), (4, f"{prose(9)} {part} {prose(9)}"), (5, prose(5) + " 1 2" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_window_sums():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
+    for n in (1, 8, 300):
+        at = np.arange(500 - n + 1)
+        assert (decontaminate.Sums(h)(at, n) == common.windows(h, n) ^ np.uint64(n)).all()
+
+
 def test_decontaminate_without_broadcast(spark, docs, monkeypatch):
     bench = docs.where("doc_id in (4, 13)").select(F.col("doc_id").alias("item_id"), "text")
     usual = {tuple(r) for r in decontaminate.find(docs, bench).collect()}
