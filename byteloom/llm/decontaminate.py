@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a sequence of template tokens: numbers, units after a number, and capitalised words inside a
-sentence become the typed slots <num>, <unit>, <name>; other words are lower-cased and lose outer
-punctuation. Windows of WINDOW template tokens are hashed. Windows of the documents are
+A text becomes a sequence of template tokens: numbers, units after a number, and capitalised words
+become the typed slots <num>, <unit>, <name>; other words are lower-cased and lose outer
+punctuation. Function words (PLAIN) are never names. What another capitalised word is can't be told from
+its place, so both sides are read three times: capitalised words are names inside a sentence only, are names
+everywhere, or are literal everywhere. Windows of WINDOW template tokens are hashed. Windows of the documents are
 hash-joined with those of the benchmark, so a question with other numbers or names still matches.
-Matched windows on one diagonal (the same shift between document and item) are one occurrence. It counts
-if its slots are consistent (one value of the item always stands against one value of the document, and
+Matched windows on one diagonal (the same shift between document and item) are one occurrence; it is judged by the windows
+of each reading and by all of them. It counts if, in one of these ways, its slots are consistent (one value of the item always stands against one value of the document, and
 the reverse, per type) and its windows cover at least MIN_COVER tokens, or the whole item if it is shorter.
 
 Windows with fewer than half literal tokens are too general to match by their template. They match by their
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, MIN_COVER, MOST_BROADCAST = 8, 13, 2_000_000
+#: What the windows of an occurrence are judged by: one reading of both sides (bits of `readings`), or all windows.
+INSIDE, NAMES, LITERAL, ALL = 1, 2, 4, 7
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 #: Units that become a slot after a number.
 UNITS = frozenset(
@@ -41,6 +45,16 @@ UNITS = frozenset(
     "l ml liter liters litre litres s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks "
     "month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents mph kph kmh hz khz mhz ghz w kw v a kb mb gb tb".split()
 )
+#: Words that are no names although they often start a sentence or a line.
+PLAIN = frozenset(
+    "a an the this that these those i you he she it we they me him her us them my your his its our their mine yours ours theirs who whom whose "
+    "what which when where why how if then else and or nor but so yet because since while although though unless until after before as at by for from in into of off on "
+    "onto out over per to under up upon with within without about above across against along among around below beneath beside between beyond down during except inside "
+    "near outside through toward towards is are was were be been being am do does did done has have had having can could may might must shall should will would not no yes "
+    "there here now once each every all any both either neither some many much more most few several other another such one two three four five six seven eight nine ten "
+    "also however therefore thus hence only just let find calculate compute determine solve suppose assume given consider show prove explain describe write list name choose "
+    "select answer question".split()
+)
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _NUMBER_UNIT = re.compile(r"([$€£]?\d[\d.,]*)([a-z]{1,7})")
@@ -66,7 +80,7 @@ class Templates:
                 flags |= self.EMPTY
             elif core.lower() in UNITS:
                 flags |= self.IS_UNIT
-            elif core[0].isupper() and core[1:].islower() and core.isalpha():
+            elif core[0].isupper() and core[1:].islower() and core.isalpha() and core.lower() not in PLAIN:
                 flags |= self.IS_TITLE
             if _END.search(w):
                 flags |= self.ENDS
@@ -76,8 +90,8 @@ class Templates:
             self.ids[w], self.hash[at], self.flags[at] = at, xxhash.xxh3_64_intdigest(core.lower().encode("utf-8", "replace")), flags
             self.slot.append(core.lower())
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Over all texts on end: hash of the word, is-slot kind (0 literal, 1 num, 2 unit, 3 name), word number, index of the text."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray, np.ndarray]:
+        """Over all texts on end: hash of the word, by reading is-slot kind (0 literal, 1 num, 2 unit, 3 name), word number, index of the text."""
         lines = [[common.words(x) for x in t.split("\n")] for t in texts]
         flat = [w for t in lines for x in t for w in x]
         new = set(flat).difference(self.ids)
@@ -97,10 +111,11 @@ class Templates:
         ids, text, flags, starts = ids[keep], text[keep], flags[keep], starts[keep]
         is_num = (flags & self.IS_NUM) > 0
         kind = np.zeros(len(ids), np.uint8)
-        kind[((flags & self.IS_TITLE) > 0) & ~starts] = 3
         kind[((flags & self.IS_UNIT) > 0) & np.concatenate([[False], is_num[:-1]])[: len(ids)]] = 2
         kind[is_num] = 1
-        return self.hash[ids], kind, ids, text
+        title = (flags & self.IS_TITLE) > 0
+        kinds = {INSIDE: np.where(title & ~starts, np.uint8(3), kind), NAMES: np.where(title, np.uint8(3), kind), LITERAL: kind}
+        return self.hash[ids], kinds, ids, text
 
 
 _SLOT = np.array([0] + [xxhash.xxh3_64_intdigest(x.encode()) for x in (NUM, UNIT, NAME)], np.uint64)
@@ -145,7 +160,8 @@ def _general(h: np.ndarray, kind: np.ndarray, at: np.ndarray, n: int) -> np.ndar
     return at[[len(set(h[p : p + n].tolist())) > 2 for p in at]] if len(at) else at
 
 
-_SCHEMA = "h long, id long, text_hash long, n int, pos int, tokens int, slots array<string>"
+_SCHEMA = "h long, id long, text_hash long, n int, pos int, tokens int, readings int, slots array<string>"
+_COLUMNS = ["h", "id", "text_hash", "n", "pos", "tokens", "readings", "slots"]
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW, cover: int = MIN_COVER) -> DataFrame:
@@ -155,22 +171,29 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, cover: int = MIN_C
         for pdf in batches:
             code, out = _worker(), []
             for item, t in zip(pdf["id"], pdf["text"]):
-                h, kind, ids, text = code([t])
+                h, kinds, ids, text = code([t])
                 if not len(h):
                     continue
-                template = Sums(np.where(kind == 0, h, _SLOT[kind]))
-                n = min(window, len(h))
+                n, found = min(window, len(h)), []
                 at = _starts(text, n)
-                fit = at[_literals(kind, at, n) * 2 >= n]
-                found = [(n, fit, template(fit, n))]
+                for reading, kind in kinds.items():
+                    template = Sums(np.where(kind == 0, h, _SLOT[kind]))
+                    fit = at[_literals(kind, at, n) * 2 >= n]
+                    found.append((reading, n, fit, template(fit, n)))
+                    # names alone would be found everywhere
+                    whole = reading != NAMES or (kind == 0).sum() * 2 >= min(n, len(h))
+                    if whole and len(np.unique(fit[:, None] + np.arange(n))) < min(cover, len(h)):
+                        found.append((reading, len(h), at[:1], template(at[:1], len(h))))
                 if len(h) > n:
-                    very = _general(h, kind, at, n)
-                    found.append((n, very, Sums(h)(very, n) ^ _VERY))
-                if len(np.unique(fit[:, None] + np.arange(n))) < min(cover, len(h)):
-                    found.append((len(h), at[:1], template(at[:1], len(h))))
-                for n, at, w in found:
-                    out += [(x, item, 0, n, p, len(h), _slots(code, kind, ids, p, n)) for x, p in zip(w.view(np.int64), at)]
-            yield pd.DataFrame(out, columns=["h", "id", "text_hash", "n", "pos", "tokens", "slots"])
+                    very = _general(h, kinds[LITERAL], at, n)
+                    found.append((ALL, n, very, Sums(h)(very, n) ^ _VERY))
+                rows = {}
+                for reading, n, at, w in found:
+                    for x, p in zip(w.view(np.int64).tolist(), at.tolist()):
+                        kind, bits = kinds.get(reading, kinds[LITERAL]), rows.get((x, n, p), (0, None))
+                        rows[x, n, p] = (bits[0] | reading, bits[1] or _slots(code, kind, ids, p, n))
+                out += [(x, item, 0, n, p, len(h), bits, slots) for (x, n, p), (bits, slots) in rows.items()]
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     return items.mapInPandas(run, _SCHEMA)
 
@@ -200,20 +223,31 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
         for pdf in batches:
             for k in range(0, len(pdf), 512):
                 code, part = _worker(), pdf.iloc[k : k + 512]
-                h, kind, ids, text = code(part["text"].tolist())
+                h, kinds, ids, text = code(part["text"].tolist())
                 first = np.searchsorted(text, np.arange(len(part)))
                 count = np.diff(np.append(first, len(text)))
-                out, template = [], Sums(np.where(kind == 0, h, _SLOT[kind]))
+                out, template = [], {r: Sums(np.where(kind == 0, h, _SLOT[kind])) for r, kind in kinds.items()}
+                inside, title = (np.concatenate([[0], np.cumsum(kinds[r] == 3)]) for r in (INSIDE, NAMES))
                 for n in lengths:
                     at = _starts(text, n)
-                    found = [sift(template(at, n), at)]
+                    i, t = inside[at + n] - inside[at], title[at + n] - title[at]
+                    found = []
+                    for r, same in ((INSIDE, (i == t) * NAMES + (i == 0) * LITERAL), (NAMES, None), (LITERAL, None)):  # a window that two readings share is given once
+                        if r == INSIDE:
+                            w, p = sift(template[r](at, n), at)
+                            found.append((kinds[r], w, p, INSIDE + same[np.searchsorted(at, p)]))
+                        else:
+                            own = at[i < t] if r == NAMES else at[i > 0]
+                            w, p = sift(template[r](own, n), own)
+                            found.append((kinds[r], w, p, np.full(len(p), r)))
                     if n == window:
-                        very = _general(h, kind, at, n)
-                        found.append(sift(Sums(h)(very, n) ^ _VERY, very))
-                    for w, at in found:
+                        very = _general(h, kinds[LITERAL], at, n)
+                        w, p = sift(Sums(h)(very, n) ^ _VERY, very)
+                        found.append((kinds[LITERAL], w, p, np.full(len(p), ALL)))
+                    for kind, w, at, bits in found:
                         t = text[at]
-                        out += zip(w.view(np.int64), part["id"].astype("Int64").to_numpy(dtype=object)[t], part["text_hash"].to_numpy()[t], [n] * len(w), at - first[t], count[t], (_slots(code, kind, ids, p, n) for p in at))
-                yield pd.DataFrame(out, columns=["h", "id", "text_hash", "n", "pos", "tokens", "slots"])
+                        out += zip(w.view(np.int64), part["id"].astype("Int64").to_numpy(dtype=object)[t], part["text_hash"].to_numpy()[t], [n] * len(w), at - first[t], count[t], bits, (_slots(code, kind, ids, p, n) for p in at))
+                yield pd.DataFrame(out, columns=_COLUMNS)
 
     return docs.mapInPandas(run, _SCHEMA)
 
@@ -232,16 +266,21 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int
     found = document_windows(texts, lengths, wanted, window).alias("d").join(bench.alias("b"), (F.col("d.h") == F.col("b.h")) & (F.col("d.n") == F.col("b.n")))
     found = found.select(
         F.col("d.id").alias("doc_id"), "d.text_hash", F.col("b.id").alias("item_id"), (F.col("d.pos") - F.col("b.pos")).alias("shift"), F.col("b.tokens").alias("item_tokens"),
-        F.sequence("b.pos", F.col("b.pos") + F.col("b.n") - 1).alias("covers"), F.arrays_zip(F.col("b.slots").alias("item"), F.col("d.slots").alias("doc")).alias("pairs"),
+        F.filter(F.array(*[F.when(F.col("d.readings").bitwiseAND(F.col("b.readings")).bitwiseAND(F.lit(r)) > 0, r) for r in (INSIDE, NAMES, LITERAL)], F.lit(ALL)), lambda r: r.isNotNull()).alias("by"),
+        F.struct("b.pos", "b.n").alias("place"), F.sequence("b.pos", F.col("b.pos") + F.col("b.n") - 1).alias("covers"), F.arrays_zip(F.col("b.slots").alias("item"), F.col("d.slots").alias("doc")).alias("pairs"),
     )
-    # an occurrence has at most as many windows as the item
-    each = found.groupBy("doc_id", "text_hash", "item_id", "shift", "item_tokens").agg(
-        F.count("*").alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+    # an occurrence has at most three times as many windows as the item
+    key = ["doc_id", "text_hash", "item_id", "shift", "item_tokens"]
+    each = found.withColumn("by", F.explode("by")).groupBy(*key, "by").agg(
+        F.size(F.collect_set("place")).alias("windows"), F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
     )
     n = F.size("pairs")
     consistent = (n == F.size(F.array_distinct(F.col("pairs.item")))) & (n == F.size(F.array_distinct(F.col("pairs.doc"))))
     each = each.where(consistent & (F.col("covered") >= F.least(F.lit(cover), F.col("item_tokens"))))
     each = each.withColumn("changed", F.size(F.filter("pairs", lambda p: p["item"] != p["doc"])))
+    # of the ways that count, the one that covers most, with the fewest changes
+    each = each.groupBy(*key).agg(F.max(F.struct("covered", (-F.col("changed")).alias("same"), "windows")).alias("best"))
+    each = each.select(*key, "best.covered", (-F.col("best.same")).alias("changed"), "best.windows")
     return each.groupBy("doc_id", "text_hash", "item_id").agg(
         F.sum("windows").alias("windows"), F.max("covered").cast("long").alias("covered"), F.max("item_tokens").cast("long").alias("item_tokens"),
         F.min("changed").cast("long").alias("changed_slots"), F.count("*").alias("occurrences"),

@@ -345,6 +345,19 @@ def test_decontaminate_finds_items_made_mostly_of_slots(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == {(1, 1), (2, 1), (4, 2)}
 
 
+def test_decontaminate_reads_capitals_the_same_everywhere(spark):
+    short, sums, first = "Oranges keep well in which old cellar?", "John has 3 apples. John buys 4. How many apples does he have by now?", "Water boils in the pot"
+    bench = spark.createDataFrame([(1, short), (2, sums), (3, "What is the colour of an orange cat?"), (4, first), (5, "Paris"), (6, "Berlin Rome")], "item_id long, text string")
+    rows = [
+        (1, f"{prose(9)} so {short} {prose(9)}"), (2, f"{prose(5)}.\n{sums.replace('John', 'Mary').replace('3', '5').replace('4', '7')}"), (3, "they ask What is the colour of an orange cat? again"),
+        (4, "Which of Water Boils In The Pot do you like"), (5, "London Madrid and Oslo"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.find(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert got[2, 2]["changed_slots"] == 3
+
+
 def test_window_sums():
     h = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     for n in (1, 8, 300):
