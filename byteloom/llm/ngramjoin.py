@@ -9,8 +9,8 @@ if the Jaccard similarity of their sets is at least THRESHOLD.
    1 / THRESHOLD are drawn on average) two more tokens of the classes' min-hash signatures. A linked pair stays
    together with a chance of at least THRESHOLD for each token drawn. The search is repeated in as many runs as the target
    recall needs. Buckets are split level by level, as joins and counts over all rows.
-3. Small buckets are compared by brute force on signatures of SKETCH min-hashes, with four standard errors'
-   allowance. A bucket that never gets small (near copies share all their tokens) is cut into blocks
+3. Small buckets are compared by brute force on signatures of SKETCH min-hashes, with an allowance that
+   loses a tenth of the misses which the target recall leaves. A bucket that never gets small (near copies share all their tokens) is cut into blocks
    of at most BLOCK classes, and each pair of blocks is compared by itself. A bucket reports a
    spanning forest of its matches, not its pairs.
 4. The forests' components are candidate groups. Inside a group every pair of classes is checked exactly on the
@@ -45,14 +45,38 @@ LEAF, BLOCK, BLOCK_SHINGLES, DEPTH, SKETCH = 256, 512, 300_000, 5, 64
 _ODD = (common.mix(np.arange(1, 4096, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
-def runs_needed(threshold: float, recall: float, depth: int = 3) -> int:
-    """Runs after which a pair at the threshold has met with the wanted chance, in buckets split down to `depth`."""
+def _spread(threshold: float) -> list[float]:
+    """Chances of 0, 1, ... SKETCH equal sketch values of a pair at the threshold."""
+    return [math.comb(SKETCH, x) * threshold**x * (1 - threshold) ** (SKETCH - x) for x in range(SKETCH + 1)]
+
+
+def least_equal(threshold: float, recall: float) -> int:
+    """Equal sketch values that a likely link has; a tenth of the allowed misses at the threshold have fewer."""
+    lost, x = 0.0, 0
+    for x, p in enumerate(_spread(threshold)):
+        lost += p
+        if lost > (1 - recall) / 10:
+            break
+    return x
+
+
+def runs_needed(threshold: float, recall: float, depth: int | None = None) -> int:
+    """Runs after which a pair at the threshold has met with the wanted chance, in buckets split down to `depth` (DEPTH).
+
+    All runs draw their splits from one sketch, so the chance is taken over the sketch's equal values, and pairs below the filter are missed."""
     two = 1 / threshold - 1  # chance of drawing two tokens
-    stay = 1.0
-    for _ in range(depth - 1):
-        one = threshold * stay
-        stay = (1 - two) * one + two * (1 - (1 - one) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold * stay))
+    least, chances = least_equal(threshold, recall), []
+    for x, p in enumerate(_spread(threshold)):
+        stay = 1.0
+        for _ in range((depth or DEPTH) - 1):
+            one = x / SKETCH * stay
+            both = one / SKETCH + (1 - 1 / SKETCH) * (1 - (1 - one) ** 2)  # the two may be the same
+            stay = (1 - two) * one + two * both
+        chances.append((p, threshold * stay if x >= least else 0.0))
+    runs = 1
+    while sum(p * (1 - meet) ** runs for p, meet in chances) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingles(text: str, n: int) -> np.ndarray:
@@ -135,9 +159,9 @@ def forest(alike, n: int) -> list[tuple[int, int]]:
     return edges
 
 
-def candidates(leaves: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def candidates(leaves: DataFrame, classes: DataFrame, threshold: float, recall: float = TARGET_RECALL) -> DataFrame:
     """(a, b): spanning forests of the leaves' likely links."""
-    least = (threshold - 4 * math.sqrt(threshold * (1 - threshold) / SKETCH)) * SKETCH
+    least = least_equal(threshold, recall)
     rows = in_blocks(leaves.join(classes.select("k", "sketch"), "k"), F.ceil(F.col("n") / BLOCK))
     rows = rows.repartition(common.parallelism(leaves.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j", "k").select("node", "i", "j", "side", "k", "sketch")
 
@@ -238,7 +262,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
     classes = common.stored(
         signed.where("k is not null").groupBy("k").agg(first.alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")), spark
     )
-    group = common.stored(components(candidates(buckets(classes, threshold), classes, threshold)), spark)
+    group = common.stored(components(candidates(buckets(classes, threshold), classes, threshold, recall)), spark)
     members = group.join(classes.select(F.col("k").alias("node"), "first", "weight", "size"), "node").withColumnRenamed("node", "k")
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     members = members.join(sizes, "root").select("k", "root", "weight", "blocks", F.col("first.doc_id").alias("m_id"), F.col("first.text_hash").alias("m_hash"))

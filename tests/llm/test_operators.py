@@ -180,6 +180,20 @@ def test_runs_reach_the_recall():
     assert ngramjoin.runs_needed(0.8, 0.9999) >= 8 and ngramjoin.runs_needed(0.9, 0.99) < ngramjoin.runs_needed(0.8, 0.99)
 
 
+def test_recall_at_the_threshold_and_full_depth():
+    rng = random.Random(8)
+    runs, least = ngramjoin.runs_needed(0.8, 0.9999), ngramjoin.least_equal(0.8, 0.9999)
+
+    def together(equal, depth):
+        return depth == ngramjoin.DEPTH or any(equal[rng.randrange(ngramjoin.SKETCH)] and together(equal, depth + 1) for _ in range(2 if rng.random() < 0.25 else 1))
+
+    missed = 0
+    for _ in range(20_000):
+        equal = [rng.random() < 0.8 for _ in range(ngramjoin.SKETCH)]
+        missed += sum(equal) < least or not any(rng.random() < 0.8 and together(equal, 1) for _ in range(runs))
+    assert missed <= 8  # 2 are expected; eleven runs miss about 60
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 
