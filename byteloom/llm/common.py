@@ -175,6 +175,12 @@ def load_file(path: str) -> bytes:
         return src.read()
 
 
+def remove(path: str) -> None:
+    """Removes a folder that an operator wrote in the shared folder and needs no more."""
+    fs, at = _fs(path)
+    fs.delete_dir(at)
+
+
 def _fs(path: str):
     from pyarrow import fs
 

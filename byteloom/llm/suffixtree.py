@@ -1,29 +1,35 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-States are contexts of 0, 1 or 2 words. A context is kept as a state if it occurs at least MIN_COUNT times in
-training and passes a divergence test against its suffix: the leave-one-out log-likelihood that its own
-next-word distribution gains over that of its longest kept suffix must exceed MIN_GAIN nats (an
+States are contexts of 0 to DEPTH words (DEPTH is a parameter). The tree grows from its root: a context of d words
+is looked at if the one of its last d - 1 words is a state. It becomes a state if it occurs at least MIN_COUNT times in
+training and passes a divergence test against that suffix: the leave-one-out log-likelihood that its own
+next-word distribution gains over the suffix's must exceed MIN_GAIN nats (an
 estimate of count times divergence that a sparse context cannot pass by chance). A state's distribution is
 smoothed by its suffix's, P(w|s) = (c(s,w) + ALPHA * P(w|suffix)) / (c(s) + ALPHA), down to the
 root, (c(w) + 0.5) / (N + 0.5 * (V + 1)), which also holds the unknown word. Each word of a text is
-scored by its longest kept context. A text begins in a start context and ends in an end token.
+scored by its longest state. A text begins in a start context and ends in an end token.
 
 How it is distributed: one scan cuts the documents into chunks of about CHUNK_TOKENS tokens, stored as
-compressed arrays in the shared folder. What a chunk needs to know about the corpus - counts of its
-own n-grams, gains of its own contexts - is asked for and answered in three rounds. In a round each chunk sends, per
-distinct key, one partial sum; keys are dealt by hash, summed over chunks, and the
-totals go back to just the chunks that asked. So a frequent word or n-gram costs one entry a chunk,
-nothing grows with a group, and no model is broadcast or collected: it stays spread over the chunks.
+compressed arrays in the shared folder. What a chunk needs to know about the corpus is asked for and answered in
+rounds: counts of its words; then for each depth the counts of its contexts with their next words, and
+whether its contexts pass the test. In a round each chunk sends, per distinct key, one partial sum; keys are dealt by
+hash into ranges of bounded size (their number grows with the corpus), summed over chunks, and the
+totals go back to just the chunks that asked. What a chunk has learned is stored beside it, so no answer moves twice. What is
+known already is not asked: a longer n-gram occurs no more often than a shorter one. So a frequent word or n-gram costs one
+entry a chunk, nothing grows with a group, and no model is broadcast or collected: it stays spread over the chunks.
+
+Keys of n-grams are hashes of log2(training tokens) + KEY_SPARE bits, 40 to 64, so the chance that one is shared by
+another n-gram is alike at every size (2 ** -KEY_SPARE).
 
 Defined cases: null text is the empty text (one end token); a null doc_id hashes as ''; repeated rows are
 documents each; with no training rows every word is unknown and the root is uniform over one word;
-very long texts make a long chunk; an empty table gives an empty result; other columns are ignored.
+very long texts make a long chunk; equal gains on the threshold are no states; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import io
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,169 +42,194 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_COUNT, MIN_GAIN, ALPHA = 2, 2.0, 2.0
-CHUNK_TOKENS = 2_000_000
+DEPTH, MIN_COUNT, MIN_GAIN, ALPHA = 4, 2, 2.0, 2.0
+#: Tokens of a chunk; tokens of the corpus for each hash range; chunks a task may work through; spare bits of keys.
+CHUNK_TOKENS, RANGE_TOKENS, TASK_CHUNKS, KEY_SPARE = 2_000_000, 4_000_000, 8, 20
 HELD_OUT_BY, HELD_OUT = 5, 1
 _END, _START = (np.uint64(xxhash.xxh3_64_intdigest(x, seed=1)) for x in (b"end", b"start"))
-_ODD = np.uint64(1)
+_NEXT, _TEST = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
+_UNKNOWN = np.iinfo(np.int64).max
+WORDS, COUNTS, GAINS = "words", "counts", "gains"
+
+
+def rounds(depth: int) -> list[tuple[str, int]]:
+    """What is asked, in order."""
+    return [(WORDS, 0)] + [(what, d) for d in range(1, depth + 1) for what in (COUNTS, GAINS)]
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Bytes of equal weight lie together, which is what a general compressor needs."""
+    """Whole numbers in as few bytes as they need, bytes of equal weight together, which is what a general compressor needs."""
+    if x.dtype.kind in "iub":
+        x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
     x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) if len(x) else b""
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T
+    return x.dtype.char.encode() + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
 
+def _unpack(raw: bytes) -> np.ndarray:
+    kind = np.dtype(chr(raw[0]))
+    planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
-def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
-    kind = np.dtype(kind)
-    if not n:
-        return np.empty(0, kind)
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+
+def _store(path: str, *arrays: np.ndarray) -> None:
+    out = io.BytesIO()
+    np.savez(out, *[np.frombuffer(_pack(x), np.uint8) for x in arrays])
+    common.store_file(path, out.getvalue())
+
+
+def _load(path: str) -> list[np.ndarray]:
+    with np.load(io.BytesIO(common.load_file(path))) as x:
+        return [_unpack(x[f"arr_{k}"].tobytes()) for k in range(len(x.files))]
 
 
 class Chunk:
-    """Documents as local word numbers, and what follows from them."""
-
-    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, held: np.ndarray):
-        self.hashes, self.tokens, self.lengths, self.doc_ids, self.known, self.held = hashes, tokens, lengths, doc_ids, known, held
-        k = len(hashes)
-        self.end, self.start = k, k + 1
-        full = np.concatenate([hashes, [_END, _START]]).astype(np.uint64)
-        self.first = np.concatenate([[0], np.cumsum(lengths)])[: len(lengths)].astype(np.int64)
-        self.train = np.repeat(~held, lengths)
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[self.first] = self.start
-        self.before = before
-        # one- and two-word grams: the key's lowest bit tells tokens from everything else
-        self.uni_keys = common.mix(full * np.uint64(3)) | _ODD
-        self.uni_keys[self.start] &= ~_ODD
-        pairs, self.pair_of = np.unique(before.astype(np.int64) * (k + 2) + tokens, return_inverse=True)
-        self.pair_keys = common.mix(common.mix(full[pairs // (k + 2)]) * np.uint64(5) + full[pairs % (k + 2)]) & ~_ODD
-        # contexts of one word as keys of their gains, and the place's two-word context: the pair that ended just before
-        self.ctx_keys = common.mix(full * np.uint64(7)) & ~_ODD
-        self.ctx2 = np.empty(len(tokens), np.int64)
-        self.ctx2[1:] = self.pair_of[:-1]
-        self.ctx2[self.first] = -1
-
-    def counts(self, ids: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(ids[self.train], minlength=n).astype(np.float64)
-
-    def round1(self) -> tuple[np.ndarray, np.ndarray]:
-        uni = self.counts(self.tokens, len(self.uni_keys))
-        uni[self.start] = (~self.held).sum()
-        return np.concatenate([self.uni_keys, self.pair_keys]), np.concatenate([uni, self.counts(self.pair_of, len(self.pair_keys))])
-
-    def learn1(self, totals: np.ndarray, n: float, v: float) -> None:
-        uni, self.c2 = totals[: len(self.uni_keys)], totals[len(self.uni_keys) :]
-        self.c1 = uni
-        self.root = (uni[self.tokens] + 0.5) / (n + 0.5 * (v + 1))
-        self.grown = np.flatnonzero((self.ctx2 >= 0) & (np.where(self.ctx2 >= 0, self.c2[self.ctx2], 0) >= MIN_COUNT))  # places with a two-word context
-        triples, self.triple_of = np.unique(self.ctx2[self.grown] * (len(self.hashes) + 2) + self.tokens[self.grown], return_inverse=True)
-        full = np.concatenate([self.hashes, [_END, _START]]).astype(np.uint64)
-        self.triple_keys = common.mix(self.pair_keys[triples // (len(self.hashes) + 2)] * np.uint64(11) + full[triples % (len(self.hashes) + 2)]) & ~_ODD
-
-    def _gain(self, joint: np.ndarray, total: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """What leaving out the place itself shows that the longer context adds, in nats."""
-        return np.log((np.maximum(joint - 1, 0) + ALPHA * parent) / (np.maximum(total - 1, 0) + ALPHA) / parent)
-
-    def round2(self) -> tuple[np.ndarray, np.ndarray]:
-        t = self.train
-        gain = self._gain(self.c2[self.pair_of[t]], self.c1[self.before[t]], self.root[t])
-        gains = np.bincount(self.before[t], gain, minlength=len(self.ctx_keys)).astype(np.float64)
-        joint = np.bincount(self.triple_of[t[self.grown]], minlength=len(self.triple_keys)).astype(np.float64)
-        return np.concatenate([self.ctx_keys, self.triple_keys]), np.concatenate([gains, joint])
-
-    def learn2(self, totals: np.ndarray) -> None:
-        gains, self.c3 = totals[: len(self.ctx_keys)], totals[len(self.ctx_keys) :]
-        keep = (self.c1 >= MIN_COUNT) & (gains > MIN_GAIN)
-        self.kept1 = keep[self.before]
-        own = (self.c2[self.pair_of] + ALPHA * self.root) / (self.c1[self.before] + ALPHA)
-        self.level1 = np.where(self.kept1, own, self.root)
-        self.asked = np.unique(self.ctx2[self.grown])
-        self.asked_of = np.searchsorted(self.asked, self.ctx2[self.grown])
-
-    def round3(self) -> tuple[np.ndarray, np.ndarray]:
-        t = self.train[self.grown]
-        gain = self._gain(self.c3[self.triple_of[t]], self.c2[self.ctx2[self.grown[t]]], self.level1[self.grown[t]])
-        return self.pair_keys[self.asked], np.bincount(self.asked_of[t], gain, minlength=len(self.asked)).astype(np.float64)
-
-    def probabilities(self, gains: np.ndarray) -> np.ndarray:
-        p, g = self.level1.copy(), self.grown
-        own = (self.c3[self.triple_of] + ALPHA * p[g]) / (self.c2[self.ctx2[g]] + ALPHA)
-        p[g] = np.where(gains[self.asked_of] > MIN_GAIN, own, p[g])
-        return p
-
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, sizes=[len(self.hashes), len(self.tokens)], hashes=self.hashes, tokens=np.frombuffer(_pack(self.tokens.astype(np.int32)), np.uint8), lengths=self.lengths, doc_ids=self.doc_ids, known=self.known, held=self.held)
-        return out.getvalue()
-
-    @staticmethod
-    def load(raw: bytes) -> Chunk:
-        with np.load(io.BytesIO(raw)) as x:
-            return Chunk(x["hashes"], _unpack(x["tokens"].tobytes(), np.int32, int(x["sizes"][1])), x["lengths"], x["doc_ids"], x["known"], x["held"])
-
-
-_ASK = "r int, chunk string, n int, keys binary, values binary"
-
-
-def _ask(chunk: str, keys: np.ndarray, values: np.ndarray, parts: int) -> pd.DataFrame:
+    """Documents as local word numbers, and what the rounds tell about their places.
+
+    `at`: the places whose longest state so far is as deep as the last finished depth; `joint`: how often that context
+    is followed by the place's word; `p`: the probability so far of each place's word. `bound`: at most how often the n-gram
+    that ends at a place and is one word longer than the depth occurs (exactly so where `exact`).
+    """
+
+    def __init__(self, path: str, n: int, v: int):
+        self.path, self.n, self.v = path, n, v
+        self.hashes, tokens, self.lengths, doc_ids, known, held = _load(f"{path}/texts")
+        self.doc_ids, self.known, held = doc_ids.astype(np.uint64).view(np.int64), known.astype(bool), held.astype(bool)
+        self.tokens, self.lengths = tokens.astype(np.int32), self.lengths.astype(np.int64)
+        self.held, k = held, len(self.hashes)
+        self.full = np.concatenate([self.hashes, [_END, _START]]).astype(np.uint64)
+        self.start = k + 1
+        self.first = (np.cumsum(self.lengths) - self.lengths).astype(np.int64)
+        self.place = np.arange(len(tokens), dtype=np.int32) - np.repeat(self.first, self.lengths).astype(np.int32)
+        self.train = np.repeat(~held, self.lengths)
+        self.bits = min(64, max(40, int(n).bit_length() + KEY_SPARE))
+
+    # -- keys ------------------------------------------------------------------------------------
+
+    def _words_back(self, at: np.ndarray, j: int) -> np.ndarray:
+        return np.where(self.place[at] >= j, self.tokens[at - j], self.start)
+
+    def _contexts(self, at: np.ndarray, depth: int) -> np.ndarray:
+        h = np.full(len(at), depth, np.uint64)
+        for j in range(1, depth + 1):
+            h = common.mix(h * common._MIX + self.full[self._words_back(at, j)])
+        return h
+
+    def _keys(self, what: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """The key of every asked place, and the places."""
+        if what == WORDS:
+            return self.full, np.empty(0, np.int64)
+        if what == GAINS:
+            return common.mix(self._contexts(self.at, depth) ^ _TEST) >> np.uint64(64 - self.bits), self.at
+        of_next, of_context = self.at[self.wanted], self.at[~self.sure]
+        follow = common.mix(self._contexts(of_next, depth) * _NEXT + self.full[self.tokens[of_next]])
+        keys = np.concatenate([follow, common.mix(self._contexts(of_context, depth) ^ _NEXT)]) >> np.uint64(64 - self.bits)
+        return keys, np.concatenate([of_next, of_context])
+
+    def ask(self, what: str, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys in order, and this chunk's partial sums."""
+        keys, at = self._keys(what, depth)
+        if what == WORDS:
+            values = np.bincount(self.tokens[self.train], minlength=len(keys))
+            values[self.start] = (~self.held).sum()
+            order = np.argsort(keys)
+            return keys[order], values[order]
+        distinct, of = np.unique(keys, return_inverse=True)
+        mine = self.train[at]
+        if what == COUNTS:
+            return distinct, np.bincount(of[mine], minlength=len(distinct))
+        joint, c, p = (x[mine] for x in (self.joint, self.c, self.p[at]))
+        # what leaving out the place itself shows that the longer context adds, in nats
+        gain = np.log((np.maximum(joint - 1, 0) + ALPHA * p) / (np.maximum(c - 1, 0) + ALPHA) / p)
+        return distinct, np.bincount(of[mine], gain, minlength=len(distinct)).astype(np.float32)
+
+    # -- what is learned -------------------------------------------------------------------------
+
+    def answered(self, what: str, depth: int, totals: np.ndarray) -> np.ndarray:
+        """The totals, asked in the order of `ask`, per asked place."""
+        keys, _ = self._keys(what, depth)
+        if what == WORDS:
+            out = np.empty(len(keys), np.int64)
+            out[np.argsort(keys)] = totals
+            return out
+        return totals[np.unique(keys, return_inverse=True)[1]]
+
+    def learn(self, what: str, depth: int, told: np.ndarray) -> None:
+        """Takes in what a round told about the asked places."""
+        if what == WORDS:
+            self.uni = told.astype(np.int64)
+            self.p = (self.uni[self.tokens] + 0.5) / (self.n + 0.5 * (self.v + 1))
+            self.root = self.p.copy()
+            self.at, self.joint = np.arange(len(self.tokens)), self.uni[self.tokens]
+            self.bound = self.joint.copy()
+        elif what == COUNTS:
+            k = int(self.wanted.sum())
+            self.joint[self.wanted], self.c[~self.sure] = told[:k], told[k:]
+            self.bound[self.at], self.exact = self.joint, np.zeros(len(self.tokens), bool)
+            self.exact[self.at] = True
+            self._only(self.c >= MIN_COUNT)
+        else:
+            self._only(told.astype(bool))
+            self.p[self.at] = (self.joint + ALPHA * self.p[self.at]) / (self.c + ALPHA)
+        if what != COUNTS:
+            self._look(depth + 1)
+
+    def _only(self, use: np.ndarray) -> None:
+        self.at, self.joint, self.c = self.at[use], self.joint[use], self.c[use]
+
+    def _look(self, depth: int) -> None:
+        """The places that have a context of this depth, how often it occurs, and what is to be asked."""
+        here = self.place[self.at] >= depth - 1
+        self.at, self.joint = self.at[here], self.joint[here]
+        if depth == 1:
+            self.c, self.sure = self.uni[self._words_back(self.at, 1)], np.ones(len(self.at), bool)
+        else:
+            self.c, self.sure = self.bound[self.at - 1], self.exact[self.at - 1]
+        self.bound[self.at] = np.minimum(self.bound[self.at], self.c)
+        use = self.c >= MIN_COUNT
+        self.sure = self.sure[use]
+        self._only(use)
+        # as often as after the shorter context if that is never, or here alone
+        self.wanted = (self.joint > 1) | ((self.joint == 1) & ~self.train[self.at])
+        self.joint = self.joint.copy()
+
+
+_ASK = "r int, chunk string, n long, keys binary, sums binary"
+_TOLD = "chunk string, r int, n long, totals binary"
+
+
+def _asked(chunk: str, keys: np.ndarray, sums: np.ndarray, bits: int, ranges: int) -> pd.DataFrame:
     """One row for each hash range in which the chunk has keys."""
-    order = np.argsort(keys)
-    keys, values = keys[order], values[order].astype(np.float32)
-    r = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    rows = []
-    cuts = np.searchsorted(r, np.arange(parts + 1))
-    for p in range(parts):
-        a, b = cuts[p], cuts[p + 1]
-        if b > a:
-            rows.append((p, chunk, b - a, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(values[a:b])))
-    return pd.DataFrame(rows, columns=["r", "chunk", "n", "keys", "values"])
+    top = keys >> np.uint64(bits - 32)  # keys have 40 bits at least
+    r = (top * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(r, prepend=-1))
+    rows = [(int(r[a]), chunk, b - a, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(sums[a:b])) for a, b in zip(begin, np.append(begin[1:], len(r)))]
+    return pd.DataFrame(rows, columns=["r", "chunk", "n", "keys", "sums"])
 
 
-def _answers(asked: DataFrame, path: str) -> DataFrame:
-    """Totals over all chunks for every key asked, in the order of each asking; chunk '' holds distinct tokens and all tokens."""
-
+def _totals(what: str):
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Totals over all chunks for every key of a range, in the order of each asking; chunk '' holds distinct words and all tokens."""
         pdf = pdf.sort_values("chunk", kind="stable")
-        keys = np.concatenate([np.cumsum(_unpack(k, np.uint64, n), dtype=np.uint64) for k, n in zip(pdf["keys"], pdf["n"])])
-        values = np.concatenate([_unpack(v, np.float32, n) for v, n in zip(pdf["values"], pdf["n"])])
+        keys = np.concatenate([np.cumsum(_unpack(k), dtype=np.uint64) for k in pdf["keys"]])
         distinct, of = np.unique(keys, return_inverse=True)
-        sums = np.bincount(of, values.astype(np.float64), minlength=len(distinct))
-        token = ((distinct & _ODD) == 1) & (sums > 0)
-        back, at = sums[of], 0
-        rows = [("", int(pdf["r"].iloc[0]), 2, 0, _pack(np.array([token.sum(), sums[token].sum()])))]
-        for chunk, r, n in zip(pdf["chunk"], pdf["r"], pdf["n"]):
-            rows.append((chunk, int(r), n, zlib.crc32(keys[at : at + n].tobytes()), _pack(back[at : at + n])))
+        sums = np.bincount(of, np.concatenate([_unpack(v) for v in pdf["sums"]]).astype(np.float64), minlength=len(distinct))
+        word = (sums > 0) & (distinct != _START)
+        told = (sums > MIN_GAIN if what == GAINS else sums.astype(np.int64))[of]
+        r, at = int(pdf["r"].iloc[0]), 0
+        rows = [("", r, 0, _pack(np.array([word.sum(), sums[word].sum()]).astype(np.int64)))] if what == WORDS else []
+        for chunk, n in zip(pdf["chunk"], pdf["n"]):
+            rows.append((chunk, r, n, _pack(told[at : at + n])))
             at += n
-        return pd.DataFrame(rows, columns=["chunk", "r", "n", "check", "totals"])
-
-    return common.written(asked.groupBy("r").applyInPandas(total, "chunk string, r int, n int, check long, totals binary"), path)
+        return pd.DataFrame(rows, columns=["chunk", "r", "n", "totals"])
 
+    return total
 
-def _read(pdf: pd.DataFrame, keys: np.ndarray) -> np.ndarray:
-    """The totals of a round in the order of its keys."""
-    pdf, order, at = pdf.sort_values("r"), np.argsort(keys), 0
-    totals = np.empty(len(keys), np.float64)
-    for n, check, raw in zip(pdf["n"], pdf["check"], pdf["totals"]):
-        here = order[at : at + n]
-        if zlib.crc32(keys[here].tobytes()) != check:
-            raise RuntimeError("a chunk changed between two rounds")
-        totals[here] = _unpack(raw, np.float64, n)
-        at += n
-    if at != len(keys):
-        raise RuntimeError("an answer is missing")
-    return totals
 
+def _cut(folder: str):
+    """Documents to chunks: a row of (chunk, tokens) for each that is stored."""
 
-def score(docs: DataFrame, held_out_by: int = HELD_OUT_BY, held_out: int = HELD_OUT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document."""
-    spark = docs.sparkSession
-    folder, parts = common.run_dir(spark, "pst"), common.parallelism(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (common.fold(F.col("doc_id"), held_out_by) == held_out).alias("held"))
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task, seq = TaskContext.get().partitionId(), 0
         ids: dict[str, int] = {}
         tokens, lengths, doc_ids, held, size = [], [], [], [], 0
@@ -208,10 +239,10 @@ def score(docs: DataFrame, held_out_by: int = HELD_OUT_BY, held_out: int = HELD_
             flat = np.concatenate(tokens)
             flat[flat < 0] = len(ids)  # the end token
             known = np.array([not pd.isna(d) for d in doc_ids], bool)
-            chunk = Chunk(hashes, flat, np.array(lengths, np.int64), np.array([int(d) if k else 0 for d, k in zip(doc_ids, known)], np.int64), known, np.array(held, bool))
+            numbers = np.array([int(d) if k else 0 for d, k in zip(doc_ids, known)], np.int64)
             name = f"{task:06d}-{seq:05d}"
-            common.store_file(f"{folder}/chunks/{name}.npz", chunk.dump())
-            return _ask(name, *chunk.round1(), parts)
+            _store(f"{folder}/chunks/{name}/texts", hashes, flat, np.array(lengths), numbers.view(np.uint64), known, np.array(held, bool))
+            return pd.DataFrame({"chunk": [name], "tokens": [size]})
 
         for pdf in batches:
             for doc_id, text, out in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["held"]):
@@ -230,33 +261,66 @@ def score(docs: DataFrame, held_out_by: int = HELD_OUT_BY, held_out: int = HELD_
         if lengths:
             yield close()
 
-    first = _answers(rows.mapInPandas(cut, _ASK), f"{folder}/round1")
-    told = [_unpack(r["totals"], np.float64, 2) for r in first.where("chunk = ''").select("totals").toLocalIterator()]  # two numbers per hash range
-    v, n = (float(x) for x in np.sum(told, axis=0)) if told else (0.0, 0.0)
-    first = first.where("chunk <> ''").withColumn("round", F.lit(1))
-
-    def learned(pdf: pd.DataFrame, upto: int) -> Chunk:
-        chunk = Chunk.load(common.load_file(f"{folder}/chunks/{pdf['chunk'].iloc[0]}.npz"))
-        chunk.learn1(_read(pdf[pdf["round"] == 1], chunk.round1()[0]), n, v)
-        if upto > 1:
-            chunk.learn2(_read(pdf[pdf["round"] == 2], np.concatenate([chunk.ctx_keys, chunk.triple_keys])))
-        return chunk
+    return run
 
-    def ask2(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _ask(pdf["chunk"].iloc[0], *learned(pdf, 1).round2(), parts)
 
-    def ask3(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _ask(pdf["chunk"].iloc[0], *learned(pdf, 2).round3(), parts)
+def score(docs: DataFrame, held_out_by: int = HELD_OUT_BY, held_out: int = HELD_OUT, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, states (places scored by a context of a word or more) of each document."""
+    spark = docs.sparkSession
+    folder = common.run_dir(spark, "pst")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (common.fold(F.col("doc_id"), held_out_by) == held_out).alias("held"))
+    chunks = common.written(rows.mapInPandas(_cut(folder), "chunk string, tokens long"), f"{folder}/index")
+    number, size = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    # both grow with the corpus; a group is a range or a chunk, so it is of bounded size
+    ranges, tasks = max(common.parallelism(spark), -(-size // RANGE_TOKENS)), max(common.parallelism(spark), -(-number // TASK_CHUNKS))
+    every = chunks.select("chunk", F.lit(-1).alias("r"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("totals"))
+    plan, n, v = rounds(depth), 0, 0
+
+    def per_chunk(told: DataFrame, run, schema: str) -> DataFrame:
+        """One call a chunk, with the answers of the last round."""
+        return told.unionByName(every).repartition(tasks, "chunk").groupBy("chunk").applyInPandas(run, schema)
+
+    def learned(pdf: pd.DataFrame, done: int) -> tuple[str, Chunk]:
+        """A chunk after `done` rounds: the last one's answers are stored beside it, those before are read from there."""
+        name = pdf["chunk"].iloc[0]
+        chunk = Chunk(f"{folder}/chunks/{name}", n, v)
+        for k, (what, d) in enumerate(plan[:done]):
+            if k + 1 < done:
+                (told,) = _load(f"{chunk.path}/{k}")
+            else:
+                told = [_unpack(x) for x in pdf.sort_values("r")["totals"] if x]
+                told = chunk.answered(what, d, np.concatenate(told) if told else np.empty(0, np.int64))
+                _store(f"{chunk.path}/{k}", told)
+            chunk.learn(what, d, told)
+        return name, chunk
+
+    def asking(done: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            name, chunk = learned(pdf, done)
+            return _asked(name, *chunk.ask(*plan[done]), 64 if not done else chunk.bits, ranges)
+
+        return run
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = learned(pdf, 2)
-        p = c.probabilities(_read(pdf[pdf["round"] == 3], c.pair_keys[c.asked]))
+        _, c = learned(pdf, done)
         add = lambda x: np.add.reduceat(x, c.first)  # noqa: E731  every document has an end token
-        out = pd.DataFrame({"doc_id": pd.array(c.doc_ids, dtype="Int64"), "held_out": c.held, "n_tokens": c.lengths, "n_known": add((c.c1[c.tokens] > 0).astype(np.int64)), "train_tokens": int(n), "base_score": add(np.log10(c.root)), "score": add(np.log10(p))})
+        out = pd.DataFrame({
+            "doc_id": pd.array(c.doc_ids, dtype="Int64"), "held_out": c.held, "n_tokens": c.lengths, "n_known": add((c.uni[c.tokens] > 0).astype(np.int64)), "train_tokens": int(n),
+            "base_score": add(np.log10(c.root)), "score": add(np.log10(c.p)), "states": add((c.p != c.root).astype(np.int64)),
+        })
         out.loc[~c.known, "doc_id"] = pd.NA
         return out
 
-    second = _answers(first.groupBy("chunk").applyInPandas(ask2, _ASK), f"{folder}/round2").where("chunk <> ''").withColumn("round", F.lit(2))
-    both = first.unionByName(second)
-    third = _answers(both.groupBy("chunk").applyInPandas(ask3, _ASK), f"{folder}/round3").where("chunk <> ''").withColumn("round", F.lit(3))
-    return both.unionByName(third).groupBy("chunk").applyInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told, done = every.limit(0), 0
+    for what, _ in plan if number else ():
+        asked = per_chunk(told, asking(done), _ASK)
+        told = common.written(asked.repartition(max(tasks, ranges // TASK_CHUNKS), "r").groupBy("r").applyInPandas(_totals(what), _TOLD), f"{folder}/answers{done}")
+        if done:
+            common.remove(f"{folder}/answers{done - 1}")  # stored beside the chunks by now
+        done += 1
+        if what == WORDS:
+            v, n = (int(x) for x in np.sum([_unpack(r["totals"]).astype(np.int64) for r in told.where("chunk = ''").select("totals").toLocalIterator()], axis=0))  # two numbers per hash range
+            told = told.where("chunk <> ''")
+        if not told.limit(1).count():
+            break  # no context is this deep
+    return per_chunk(told, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, states long")

@@ -259,55 +259,64 @@ def test_toxicity(spark, none):
 # 5 ------------------------------------------------------------------------------------------------
 
 
-def brute_tree(rows):
+def brute_tree(rows, depth):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     a = suffixtree.ALPHA
     seqs = [(i, ["<s>", *WORD.findall((t or "").translate(low)), "</s>"]) for i, t, _ in rows]
-    c = [Counter(), Counter(), Counter()]
     train = [w for i, w in seqs if not held(i)]
+    gram, follow = Counter(), Counter()  # contexts, and contexts with their next word
     for w in train:
         for k in range(1, len(w)):
-            for n in range(3):
-                if k >= n:
-                    c[n][tuple(w[k - n : k + 1])] += 1
-    n, v = sum(c[0].values()), len(c[0])
-    starts = len(train)
-    root = lambda x: (c[0][x,] + 0.5) / (n + 0.5 * (v + 1))
-    total1 = lambda s: starts if s == "<s>" else c[0][s,]
-    gain1, gain2 = Counter(), Counter()
-    loo = lambda j, t, p: math.log((max(j - 1, 0) + a * p) / (max(t - 1, 0) + a) / p)
-    for w in train:
-        for k in range(1, len(w)):
-            gain1[w[k - 1]] += loo(c[1][w[k - 1], w[k]], total1(w[k - 1]), root(w[k]))
-    keep1 = {s for s, g in gain1.items() if total1(s) >= 2 and g > suffixtree.MIN_GAIN}
-    one = lambda s, x: (c[1][s, x] + a * root(x)) / (total1(s) + a) if s in keep1 else root(x)
-    for w in train:
-        for k in range(2, len(w)):
-            s = (w[k - 2], w[k - 1])
-            if c[1][s] >= 2:
-                gain2[s] += loo(c[2][*s, w[k]], c[1][s], one(w[k - 1], w[k]))
-    keep2 = {s for s, g in gain2.items() if g > suffixtree.MIN_GAIN}
+            for n in range(min(depth, k) + 1):
+                gram[tuple(w[k - n : k])] += 1
+                follow[tuple(w[k - n : k]), w[k]] += 1
+    n, v = gram[()], sum(not s for s, _ in follow)
+    states = set()
+
+    def p(s, x):
+        """Of the longest state that s ends in."""
+        if not s:
+            return (follow[(), x] + 0.5) / (n + 0.5 * (v + 1))
+        return (follow[s, x] + a * p(s[1:], x)) / (gram[s] + a) if s in states else p(s[1:], x)
+
+    for d in range(1, depth + 1):
+        gains = Counter()
+        for s, x in follow:
+            if len(s) == d and gram[s] >= 2 and (d == 1 or s[1:] in states):
+                q = p(s[1:], x)
+                gains[s] += follow[s, x] * math.log((follow[s, x] - 1 + a * q) / (gram[s] - 1 + a) / q)
+        states |= {s for s, g in gains.items() if g > suffixtree.MIN_GAIN}
+
+    def longest(s):
+        while s and not all(s[k:] in states for k in range(len(s))):
+            s = s[1:]
+        return s
+
     out = []
     for i, w in seqs:
-        p = []
-        for k in range(1, len(w)):
-            q = one(w[k - 1], w[k])
-            s = tuple(w[k - 2 : k]) if k > 1 else None
-            p.append((c[2][*s, w[k]] + a * q) / (c[1][s] + a) if s in keep2 else q)
-        out.append((i, held(i), len(w) - 1, sum(c[0][x,] > 0 for x in w[1:]), n, sum(math.log10(root(x)) for x in w[1:]), sum(map(math.log10, p))))
+        at = [(longest(tuple(w[max(0, k - depth) : k])), w[k]) for k in range(1, len(w))]
+        base = [p((), x) for _, x in at]
+        out.append((i, held(i), len(w) - 1, sum(follow[(), x] > 0 for _, x in at), n, sum(map(math.log10, base)), sum(math.log10(p(s, x)) for s, x in at)))
     return out
 
 
-@pytest.mark.parametrize("chunk", [2_000_000, 100])
-def test_suffix_tree(docs, none, monkeypatch, chunk):
+@pytest.mark.parametrize("depth, chunk", [(1, 100), (2, 100), (3, 100), (4, 2_000_000), (4, 100), (6, 100)])
+def test_suffix_tree(docs, none, monkeypatch, depth, chunk):
     monkeypatch.setattr(suffixtree, "CHUNK_TOKENS", chunk)
     key = lambda r: (r[0] is not None, r[0] or 0, r[2], r[5])
-    got, want = sorted(map(tuple, suffixtree.score(docs).collect()), key=key), sorted(brute_tree(ROWS), key=key)
+    got, want = sorted((tuple(r)[:7] for r in suffixtree.score(docs, depth=depth).collect()), key=key), sorted(brute_tree(ROWS, depth), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
         assert g[5:] == pytest.approx(w[5:], rel=1e-6)
+
+
+def test_suffix_tree_without_rows(docs, none):
     assert suffixtree.score(none).count() == 0
+    held = docs.where("doc_id = 13")  # nothing to learn from: one unknown word
+    assert zlib.crc32(b"13") % 5 != 1 or suffixtree.score(held).first()["train_tokens"] == 0
+    blank = suffixtree.score(docs.where("doc_id in (5, 6)")).collect()
+    assert [(r["n_tokens"], r["base_score"] <= 0) for r in blank] == [(1, True)] * 2
 
 
 # 6 ------------------------------------------------------------------------------------------------
