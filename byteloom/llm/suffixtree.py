@@ -15,7 +15,8 @@ rounds: counts of its words; then for each depth the counts of its contexts with
 whether its contexts pass the test. In a round each chunk sends, per distinct key, one partial sum; keys are dealt by
 hash into ranges of bounded size (their number grows with the corpus), summed over chunks, and the
 totals go back to just the chunks that asked. What a chunk has learned is stored beside it, so no answer moves twice. What is
-known already is not asked: a longer n-gram occurs no more often than a shorter one. So a frequent word or n-gram costs one
+known already is not asked: a longer n-gram occurs no more often than a shorter one, and what always follows a context
+always follows a longer one. So a frequent word or n-gram costs one
 entry a chunk, nothing grows with a group, and no model is broadcast or collected: it stays spread over the chunks.
 
 Keys of n-grams are hashes of log2(training tokens) + KEY_SPARE bits, 40 to 64, so the chance that one is shared by
@@ -45,6 +46,8 @@ from . import common
 DEPTH, MIN_COUNT, MIN_GAIN, ALPHA = 4, 2, 2.0, 2.0
 #: Tokens of a chunk; tokens of the corpus for each hash range; chunks a task may work through; spare bits of keys.
 CHUNK_TOKENS, RANGE_TOKENS, TASK_CHUNKS, KEY_SPARE = 2_000_000, 4_000_000, 8, 20
+#: Gains are counted in parts of a nat.
+NAT = 4096
 HELD_OUT_BY, HELD_OUT = 5, 1
 _END, _START = (np.uint64(xxhash.xxh3_64_intdigest(x, seed=1)) for x in (b"end", b"start"))
 _NEXT, _TEST = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA24BAED4963EE407)
@@ -72,6 +75,11 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _gain(joint: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What leaving out the place itself shows that the longer context adds, in whole parts of a nat: their sums are exact in any order."""
+    return np.rint(np.log((np.maximum(joint - 1, 0) + ALPHA * p) / (np.maximum(c - 1, 0) + ALPHA) / p) * NAT)
+
+
 def _store(path: str, *arrays: np.ndarray) -> None:
     out = io.BytesIO()
     np.savez(out, *[np.frombuffer(_pack(x), np.uint8) for x in arrays])
@@ -139,9 +147,8 @@ class Chunk:
         if what == COUNTS:
             return distinct, np.bincount(of[mine], minlength=len(distinct))
         joint, c, p = (x[mine] for x in (self.joint, self.c, self.p[at]))
-        # what leaving out the place itself shows that the longer context adds, in nats
-        gain = np.log((np.maximum(joint - 1, 0) + ALPHA * p) / (np.maximum(c - 1, 0) + ALPHA) / p)
-        return distinct, np.bincount(of[mine], gain, minlength=len(distinct)).astype(np.float32)
+        gain = np.bincount(of[mine], _gain(joint, c, p), minlength=len(distinct)).astype(np.int64)
+        return distinct, (gain << 1 ^ gain >> 63).view(np.uint64)  # signs in the lowest bit: small numbers stay small
 
     # -- what is learned -------------------------------------------------------------------------
 
@@ -165,9 +172,13 @@ class Chunk:
         elif what == COUNTS:
             k = int(self.wanted.sum())
             self.joint[self.wanted], self.c[~self.sure] = told[:k], told[k:]
+            self.joint[self.fixed] = self.c[self.fixed]
             self.bound[self.at], self.exact = self.joint, np.zeros(len(self.tokens), bool)
             self.exact[self.at] = True
             self._only(self.c >= MIN_COUNT)
+            # a context with one next word: its gain is plain here, and if it is too small nobody needs to ask
+            alone = self.joint == self.c
+            self._only(~alone | (_gain(self.joint, self.c, self.p[self.at]) * self.c > MIN_GAIN * NAT))
         else:
             self._only(told.astype(bool))
             self.p[self.at] = (self.joint + ALPHA * self.p[self.at]) / (self.c + ALPHA)
@@ -180,6 +191,7 @@ class Chunk:
     def _look(self, depth: int) -> None:
         """The places that have a context of this depth, how often it occurs, and what is to be asked."""
         here = self.place[self.at] >= depth - 1
+        fixed = (self.joint == self.c if depth > 1 else np.zeros(len(self.at), bool))[here]
         self.at, self.joint = self.at[here], self.joint[here]
         if depth == 1:
             self.c, self.sure = self.uni[self._words_back(self.at, 1)], np.ones(len(self.at), bool)
@@ -187,10 +199,10 @@ class Chunk:
             self.c, self.sure = self.bound[self.at - 1], self.exact[self.at - 1]
         self.bound[self.at] = np.minimum(self.bound[self.at], self.c)
         use = self.c >= MIN_COUNT
-        self.sure = self.sure[use]
+        self.sure, self.fixed = self.sure[use], fixed[use]
         self._only(use)
-        # as often as after the shorter context if that is never, or here alone
-        self.wanted = (self.joint > 1) | ((self.joint == 1) & ~self.train[self.at])
+        # as after the shorter context if that is never, or here alone; always, if always after the shorter context
+        self.wanted = ~self.fixed & ((self.joint > 1) | ((self.joint == 1) & ~self.train[self.at]))
         self.joint = self.joint.copy()
 
 
@@ -213,9 +225,10 @@ def _totals(what: str):
         pdf = pdf.sort_values("chunk", kind="stable")
         keys = np.concatenate([np.cumsum(_unpack(k), dtype=np.uint64) for k in pdf["keys"]])
         distinct, of = np.unique(keys, return_inverse=True)
-        sums = np.bincount(of, np.concatenate([_unpack(v) for v in pdf["sums"]]).astype(np.float64), minlength=len(distinct))
+        sums = np.concatenate([_unpack(v).astype(np.int64) for v in pdf["sums"]])
+        sums = np.bincount(of, sums >> 1 ^ -(sums & 1) if what == GAINS else sums, minlength=len(distinct))  # doubles: exact to 2 ** 53
         word = (sums > 0) & (distinct != _START)
-        told = (sums > MIN_GAIN if what == GAINS else sums.astype(np.int64))[of]
+        told = (sums > MIN_GAIN * NAT if what == GAINS else sums.astype(np.int64))[of]
         r, at = int(pdf["r"].iloc[0]), 0
         rows = [("", r, 0, _pack(np.array([word.sum(), sums[word].sum()]).astype(np.int64)))] if what == WORDS else []
         for chunk, n in zip(pdf["chunk"], pdf["n"]):

@@ -285,7 +285,7 @@ def brute_tree(rows, depth):
         for s, x in follow:
             if len(s) == d and gram[s] >= 2 and (d == 1 or s[1:] in states):
                 q = p(s[1:], x)
-                gains[s] += follow[s, x] * math.log((follow[s, x] - 1 + a * q) / (gram[s] - 1 + a) / q)
+                gains[s] += follow[s, x] * round(suffixtree.NAT * math.log((follow[s, x] - 1 + a * q) / (gram[s] - 1 + a) / q)) / suffixtree.NAT
         states |= {s for s, g in gains.items() if g > suffixtree.MIN_GAIN}
 
     def longest(s):
