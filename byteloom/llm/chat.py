@@ -49,10 +49,7 @@ def unescape(text: str) -> str:
 
 def assemble(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """conv_id, piece, ids, loss: pieces of token sequences, loss as one byte per id."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    rows = common.need(conversations, conv_id="long", turn="long", role="string", text="string").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = encoder(tokenizer)

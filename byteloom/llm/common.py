@@ -73,9 +73,27 @@ def fold(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ... and the new name of each: no name can clash, whatever dots or capitals it has."""
+    new = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*new), {c.lower(): n for c, n in reversed(list(zip(df.columns, new)))} | dict(zip(df.columns, new))
+
+
 def need(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns alone, cast; other columns and clashing names stay out of the operator's way."""
-    return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()])
+    rows, name = numbered(df)
+    return rows.select(*[F.col(name[c]).cast(kind).alias(c) for c, kind in kinds.items()])
+
+
+def texts_of(docs: DataFrame, **more: str) -> DataFrame:
+    """doc_id and text (null: empty) of documents, and other columns that are asked for."""
+    return need(docs, doc_id="long", text="string", **more).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Documents with numbered columns, and expressions for their doc_id and the hash of their text, by which operators tell them apart."""
+    rows, name = numbered(docs)
+    return rows, F.col(name["doc_id"]).cast("long"), F.xxhash64(F.coalesce(F.col(name["text"]).cast("string"), F.lit("")))
 
 
 _kept: dict[object, object] = {}

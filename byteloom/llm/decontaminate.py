@@ -255,8 +255,8 @@ def document_windows(docs: DataFrame, lengths: list[int], wanted: np.ndarray | N
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = MIN_COVER) -> DataFrame:
     """doc_id, text_hash, item_id, windows, covered, item_tokens, changed_slots, occurrences of every contaminated (document, item)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = common.texts_of(docs).select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("text_hash"))
+    items = common.need(benchmark, item_id="long", text="string").select(F.col("item_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     bench = common.stored(benchmark_windows(items, window, cover), spark)
     lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # at most `window` values, or lengths of items made mostly of slots
     number = bench.select("h").distinct().count()
@@ -288,7 +288,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int
 
 
 def clean_of(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents in which nothing was found, with their own columns."""
-    bad = found.select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_h")).distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.join(bad, (F.xxhash64(text) == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    """The documents in which nothing was found, with their own columns, whatever their names.
+
+    Repeated rows and null ids and texts are judged like any other; an empty table stays empty.
+    """
+    rows, doc_id, text_hash = common.keyed(docs)
+    bad = found.select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    return rows.join(bad, (text_hash == F.col("bad_hash")) & doc_id.eqNullSafe(F.col("bad_id")), "left_anti").toDF(*docs.columns)

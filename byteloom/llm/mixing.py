@@ -71,12 +71,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, tilt: float = LENGTH_TILT) -> DataFrame:
     """One row per document: doc_id, text_hash, source, size, source_size, target, copies, taken."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sizes = docs.select(
-        F.col("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        F.xxhash64(text).alias("text_hash"),
-        F.size(F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), 1)).cast("long").alias("size"),
+    sizes = common.texts_of(docs, source="string").select(
+        "doc_id", "source", F.xxhash64("text").alias("text_hash"), F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).cast("long").alias("size")
     )
     sizes = common.stored(sizes, spark)  # one scan of the texts; the rest reads four small columns
     # one row per source: within the broadcast bound of the session's own threshold or else a shuffled join
@@ -136,15 +132,24 @@ def _boundary(buckets: DataFrame, by: str) -> DataFrame:
 
 
 def copies_of(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it was taken, with their own columns."""
-    h = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    cols = docs.columns
-    picked = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    # repeated rows are interchangeable: they share their copies, the remainder goes to the first of them
-    mine = docs.withColumn("_hash", h)
-    repeated = picked.where("_rows > 1")
-    out = mine.join(picked.where("_rows = 1"), mine["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    several = mine.join(repeated, mine["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    several = several.withColumn("_r", F.row_number().over(W.partitionBy("_id", "_h").orderBy("_hash"))).withColumn("_n", F.floor(F.col("_n") / F.col("_rows")) + F.when(F.col("_r") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)).drop("_r")
-    both = out.unionByName(several).where("_n > 0")
-    return both.select(*[F.col(c) for c in cols], F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).drop("_copy")
+    """The documents of the mix, each as often as it was taken, with their own columns, whatever their names.
+
+    Rows with the same id and text share their copies: as many each, and one more for the first ones. They are counted by task
+    before they are put in order, so a row that is repeated very often is neither numbered nor copied by one task. Empty
+    tables, null ids and null texts (never taken) need no care.
+    """
+    rows, doc_id, text_hash = common.keyed(docs)
+    own = rows.columns
+    picked = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.sum("copies").alias("n"))
+    all_rows = mixed.groupBy(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash")).agg(F.count("*").alias("of"))
+    picked = picked.join(all_rows, F.col("k_id").eqNullSafe(F.col("a_id")) & (F.col("k_hash") == F.col("a_hash"))).select("k_id", "k_hash", "n", "of")
+    rows = rows.withColumn("m_id", doc_id).withColumn("m_hash", text_hash)
+    mine = F.col("m_id").eqNullSafe(F.col("k_id")) & (F.col("m_hash") == F.col("k_hash"))
+    single = rows.join(picked.where("of = 1"), mine).select(*own, "n")
+    several = rows.join(picked.where("of > 1"), mine).withColumn("task", F.spark_partition_id())
+    several = several.groupBy(*own, "k_id", "k_hash", "n", "of", "task").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(W.partitionBy("k_id", "k_hash").orderBy("task", F.xxhash64(*own)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    more = F.least(F.greatest(F.col("n") % F.col("of") - before, F.lit(0)), F.col("rows"))
+    several = several.withColumn("n", F.floor(F.col("n") / F.col("of")) * F.col("rows") + more).select(*own, "n")
+    both = single.unionByName(several).where("n > 0")
+    return both.select(*own, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).select(*own).toDF(*docs.columns)

@@ -253,10 +253,9 @@ def verified(texts: DataFrame, threshold: float, n: int) -> DataFrame:
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, text_hash, class_id, links, copies, kept of each document."""
+    """doc_id, text_hash, class_id, links, copies, kept, blank (without words) of each document."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    rows = common.texts_of(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     signed = common.written(signatures(rows, runs_needed(threshold, recall), n), common.run_dir(spark, "signed"))
     first = F.min(F.struct("doc_id", "text_hash"))
     classes = common.stored(
@@ -280,16 +279,20 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
     mine = F.struct("doc_id", "text_hash").eqNullSafe(F.col("top"))
     return out.select(
         "doc_id", "text_hash", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("weight", F.lit(1)).cast("long").alias("copies"), (F.col("k").isNull() | mine).alias("kept"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("weight", F.lit(1)).cast("long").alias("copies"), (F.col("k").isNull() | mine).alias("kept"), F.col("k").isNull().alias("blank"),
     )
 
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The documents of which one stays per group, with their own columns."""
-    keep = joined.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "copies").distinct()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumn("_hash", F.xxhash64(text)).withColumn("_blank", ~text.rlike(common.WORD))
-    out = out.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    single = out.where("copies = 1 or _blank")
-    several = out.where("copies > 1 and not _blank").dropDuplicates(["doc_id", "_hash"])  # equal rows: one of them
-    return single.unionByName(several).select(*docs.columns)
+    """The documents of which one stays per group, with their own columns, whatever their names.
+
+    Of rows with the same id and text one stays (the texts without words, which have no set, all stay); an empty table stays empty.
+    """
+    rows, doc_id, text_hash = common.keyed(docs)
+    own = rows.columns
+    keep = joined.where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "copies", "blank").distinct()
+    out = rows.withColumn("m_id", doc_id).withColumn("m_hash", text_hash)
+    out = out.join(keep, F.col("m_id").eqNullSafe(F.col("k_id")) & (F.col("m_hash") == F.col("k_hash")))
+    single = out.where("copies = 1 or blank")
+    several = out.where("copies > 1 and not blank").dropDuplicates(["m_id", "m_hash"])  # equal rows: one of them
+    return single.unionByName(several).select(*own).toDF(*docs.columns)

@@ -281,7 +281,7 @@ def score(docs: DataFrame, held_out_by: int = HELD_OUT_BY, held_out: int = HELD_
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, states (places scored by a context of a word or more) of each document."""
     spark = docs.sparkSession
     folder = common.run_dir(spark, "pst")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (common.fold(F.col("doc_id"), held_out_by) == held_out).alias("held"))
+    rows = common.texts_of(docs).withColumn("held", common.fold(F.col("doc_id"), held_out_by) == held_out)
     chunks = common.written(rows.mapInPandas(_cut(folder), "chunk string, tokens long"), f"{folder}/index")
     number, size = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     # both grow with the corpus; a group is a range or a chunk, so it is of bounded size

@@ -101,7 +101,7 @@ def count_words(path: str, distinct: set[str]) -> dict[str, tuple[int, int]]:
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens, n_byte_tokens of each document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = common.texts_of(docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -259,14 +259,14 @@ def _grams(text: str) -> set[str]:
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     """(text, toxic) of the bounded training sample, and the numbers of toxic and clean training rows there are."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
+    rows = common.need(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic is not null")
+    own = common.texts_of(docs)
     rows = rows.where(common.fold(F.col("doc_id"), FOLD_BY) != HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = rows.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+    rows = rows.join(own.select("doc_id").distinct(), "doc_id")
     rows = common.stored(rows, docs.sparkSession)
     n1, n0 = rows.agg(F.count(F.when(F.col("toxic") == 1, 1)), F.count(F.when(F.col("toxic") != 1, 1))).first()
     order = F.xxhash64("doc_id", F.lit(4))
     picked = rows.where("toxic = 1").orderBy(order, "doc_id").limit(TOXIC_ROWS).union(rows.where("toxic <> 1").orderBy(order, "doc_id").limit(CLEAN_ROWS))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # at most TOXIC_ROWS + CLEAN_ROWS ids are broadcast; a doc_id that is repeated is trained on once
     texts = own.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     return common.stored(texts.select("text", "toxic").repartition(common.parallelism(docs.sparkSession)), docs.sparkSession), n1, n0
@@ -390,8 +390,7 @@ def _key(model: Model) -> str:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text_hash, held_out, score, predicted of each document."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), (common.fold(F.col("doc_id"), FOLD_BY) == HELD_OUT).alias("held_out"), text.alias("text"))
+    rows = common.texts_of(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), (common.fold(F.col("doc_id"), FOLD_BY) == HELD_OUT).alias("held_out"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -402,7 +401,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns: one pass, no join."""
+    """The documents that are not predicted toxic, with their own columns, whatever their names: one pass, no join. Null and empty texts score as such, repeated rows alike."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), _key(model)
 
     @F.pandas_udf("double")
@@ -411,4 +410,5 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         parts = [shared.value.score(document_features(texts[k : k + 256], shared.value, key)) for k in range(0, len(texts), 256)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.where(p(F.coalesce(F.col("text").cast("string"), F.lit(""))) < CUT)
+    rows, name = common.numbered(docs)
+    return rows.where(p(F.coalesce(F.col(name["text"]).cast("string"), F.lit(""))) < CUT).toDF(*docs.columns)

@@ -35,9 +35,7 @@ def _line(name: str, value: Column) -> Column:
 def write(pages: DataFrame, folder: str, date: str = DATE, revisit_bytes: int = REVISIT_BYTES) -> tuple[str, str]:
     """Writes an archive; returns the names of the payload table and of the folder of records."""
     spark = pages.sparkSession
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload")
-    )
+    rows = common.need(pages, page_id="long", url="string", html="string").select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     # equal digests hold equal bytes, so any of them will do; each task sends one of a kind
     table = f"warc_{uuid.uuid4().hex}"

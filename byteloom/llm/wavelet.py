@@ -305,7 +305,7 @@ def encoder(path: str) -> Encoder:
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the shards; returns one row per shard: part, seq, path, documents, ids."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = common.texts_of(docs)
     rows = rows.repartitionByRange(common.parallelism(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
