@@ -230,6 +230,29 @@ def test_kernel_is_the_subsequence_kernel():
         assert toxicity.kernel([s], [t])[0, 0] == pytest.approx(brute(s, t) ** 2 / brute(s, s) / brute(t, t), rel=1e-4)
 
 
+def test_values_are_the_kernel_or_zero_under_the_floor():
+    marks = ["^idiot", "^баобабов", "aaaa", "^réeux", "日本日本", "hless"]
+    model = toxicity.Model(marks, [1.0] * len(marks), 0.1)
+    assert np.allclose(np.diag(model.values(marks)), 1, atol=1e-4)
+    rng = random.Random(4)
+    strings = marks + ["^" + "".join(rng.choice(x) for _ in range(rng.randint(3, 12))) for x in ("idots.", "баов", "a^é", "réeuxs", "日本a", "hlesworti") for _ in range(60)]
+    whole = toxicity.kernel(strings, marks)
+    want = np.where(whole < toxicity.FLOOR, 0, whole)
+    close = np.abs(whole - toxicity.FLOOR) > 1e-5
+    assert np.allclose(model.values(strings)[close], want[close], atol=1e-4) and (want > 0).sum() > 20
+
+
+def test_reader_and_sentences_read_alike():
+    model = toxicity.Model(["^idiot", "^worthle"], [1.0, 1.0], 0.1)
+    model.weights, model.bias = np.linalg.inv(model.root) @ np.ones(2), -0.5  # the margin is the sum of the two values
+    texts = ["you i.d.i.o.t there", "you i - d - i - o - t now. Fine", "w.o.r.t.h.l.e.s.s. w o r t h l e s s", "nothing", "", "a b. c d i d i o t. x", "so i.d.i.o.t.s? -- . Yes ... w-o-r-t-h-l-e-s-s! no"]
+    got = toxicity.Reader(model)(texts)
+    for t, x in zip(texts, got):
+        per = [max([m for f in s for m in model.margins([f])], default=toxicity.NOTHING) for s in toxicity.sentences(t)]
+        assert x == pytest.approx(model.features(np.array(per), np.array([0]))[0], abs=1e-5), t
+    assert (got[[0, 1, 2, 5, 6], 1] > 0.4).all() and (got[[3, 4], 1] < 0).all()
+
+
 def test_toxicity(spark, none):
     rng, bad = random.Random(3), ["wretchling", "foulmouth", "gronk"]
     rows, labels = [], []
