@@ -84,11 +84,14 @@ def rle_encode(data: bytes) -> bytes:
     if not len(raw):
         return b""
     starts = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]]))
-    out = []
-    for x, n in zip(raw[starts].tolist(), np.diff(np.append(starts, len(raw))).tolist()):
-        full, left = divmod(n, 259)
-        out.append(bytes([x] * 4 + [255]) * full + (bytes([x] * 4 + [left - 4]) if left >= 4 else bytes([x]) * left))
-    return b"".join(out)
+    lengths = np.diff(np.append(starts, len(raw)))
+    out, at = [], 0
+    for k in np.flatnonzero(lengths >= 4).tolist():  # what lies between long runs is copied as it is
+        start, n = int(starts[k]), int(lengths[k])
+        x, (full, left) = int(raw[start]), divmod(n, 259)
+        out += [data[at:start], bytes([x] * 4 + [255]) * full, bytes([x] * 4 + [left - 4]) if left >= 4 else bytes([x]) * left]
+        at = start + n
+    return b"".join([*out, data[at:]])
 
 
 def rle_decode(data: bytes) -> bytes:

@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bytes as fb
@@ -78,16 +77,37 @@ def restored(toks: DataFrame) -> DataFrame:
     return rows.select("doc_id", "block_idx", run("t").alias("data"))
 
 
+def repeat_slots(offsets: pd.Series) -> pd.Series:
+    """For each array of offsets in order: which of the three recent ones (0 to 2, from 1, 1, 1 at the start) each repeats, or -1. A repeated one comes to the front."""
+
+    def slots(row) -> list[int]:
+        recent, out = [1, 1, 1], []
+        for x in row:
+            at = recent.index(x) if x in recent else -1
+            out.append(at)
+            recent.insert(0, recent.pop(at) if at >= 0 else x)
+            del recent[3:]
+        return out
+
+    return offsets.map(slots)
+
+
+def repeated(matches: DataFrame, order: str, offset: str) -> DataFrame:
+    """Adds slot: the repeat slot of each match of a block, -1 if it has a new offset. A block's matches are as many as its bytes at most."""
+    run = F.pandas_udf(repeat_slots, "array<int>")
+    rest = [c for c in matches.columns if c not in ("doc_id", "block_idx", order)]
+    per = matches.groupBy("doc_id", "block_idx").agg(F.array_sort(F.collect_list(F.struct(order, *rest))).alias("m"))
+    per = per.withColumn("slots", run(F.transform("m", lambda m: m[offset].cast("long"))))
+    return per.select("doc_id", "block_idx", F.explode(F.arrays_zip("m", "slots")).alias("x")).select("doc_id", "block_idx", "x.m.*", F.col("x.slots").alias("slot"))
+
+
 def streams(toks: DataFrame) -> DataFrame:
     """(doc_id, stream, b): the symbols of four streams - flags, literals, offset codes, length codes - one row each.
 
-    Offsets equal to one of a block's last three are repeats: codes 0 to 2; other codes are shifted by 3.
+    Offsets equal to one of a block's three recent ones are repeats: codes 0 to 2; other codes are shifted by 3.
     """
-    order = W.partitionBy("doc_id", "block_idx").orderBy("seq")
-    # the last offsets before a token, from one struct per match; the same offset again changes nothing
-    own = toks.withColumn("prior", F.slice(F.reverse(F.collect_list("off").over(order.rowsBetween(-64, -1))), 1, 3))
-    repeat = F.array_position("prior", F.col("off"))
-    code = F.when(repeat > 0, repeat - 1).otherwise(fb.value_code(F.col("off")) + 3)
+    own = repeated(toks.where("off is not null"), "seq", "off").unionByName(toks.where("off is null").withColumn("slot", F.lit(-1)))
+    code = F.when(F.col("slot") >= 0, F.col("slot")).otherwise(fb.value_code(F.col("off")) + 3)
     match = F.col("off").isNotNull()
     each = F.array(
         F.struct(F.lit("flags").alias("stream"), F.when(match, 1).otherwise(0).cast("long").alias("b")),

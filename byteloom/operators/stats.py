@@ -1,104 +1,147 @@
 """Byte statistics and the rules that choose codecs by them.
 
-Every document's bytes stay in the task that reads the document: histograms are summed there before
-anything is shuffled, and runs are found inside the row, without a row per byte.
+The statistics of a value are computed inside its row: one Arrow pass over whole values yields exact whole sums
+(`facts`), and everything else is expressions over those. No byte becomes a row and nothing is shuffled.
+Work on a value goes PIECE bytes at a time, so a very long one needs little more memory than itself.
+
+Defined cases: a null or empty value has 0 bytes and statistics of 0; rows with equal or null ids are
+values of their own, each with its own result; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bytes import byte_values, hash3, latin
-from ..sources.relations import bytes_of
+from ..functions import bytes as fb
 
 #: How far back a match counts, and the bits of the hash that finds it.
 MATCH_WINDOW, MATCH_HASH_BITS = 4096, 13
-ROUND = 6
+ROUND, PIECE = 6, 1 << 20
+
+FACTS = (
+    "input_len long, used int, nln double, n1 long, b1 int, n2 long, b2 int, pairs long, sx long, sy long, sxx long, syy long, sxy long, "
+    "run_bytes long, rle_size long, matches long, places long, counts array<long>"
+)
+
+
+def _runs(b: np.ndarray) -> Iterator[np.ndarray]:
+    """Lengths of the maximal runs of equal bytes, piece by piece."""
+    open_, last = 0, -1
+    for k in range(0, len(b), PIECE):
+        part = b[k : k + PIECE]
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+        n = np.diff(ends, prepend=0)
+        if part[0] == last:
+            n[0] += open_
+        elif open_:
+            yield np.array([open_])
+        yield n[:-1]
+        open_, last = n[-1], part[-1]
+    if open_:
+        yield np.array([open_])
+
+
+def _near_matches(b: np.ndarray) -> int:
+    """Places whose three bytes are also those of the last place in the same hash slot, if that is near."""
+    last_at, last_word, found = np.full(1 << MATCH_HASH_BITS, -1 - MATCH_WINDOW, np.int64), np.zeros(1 << MATCH_HASH_BITS, np.int32), 0
+    for k in range(0, len(b) - 2, PIECE):
+        part = b[k : k + PIECE + 2].astype(np.int32)
+        x, y, z = part[:-2], part[1:-1], part[2:]
+        word, slot = x << 16 | y << 8 | z, ((x << 10 ^ y << 5 ^ z) & ((1 << MATCH_HASH_BITS) - 1)).astype(np.uint16)
+        order = np.argsort(slot, kind="stable")
+        s, w, at = slot[order], word[order], order + k
+        new = np.concatenate([[True], s[1:] != s[:-1]])
+        before, before_w = np.where(new, last_at[s], np.roll(at, 1)), np.where(new, last_word[s], np.roll(w, 1))
+        found += int(((at - before <= MATCH_WINDOW) & (before_w == w)).sum())
+        end = np.append(new[1:], True)
+        last_at[s[end]], last_word[s[end]] = at[end], w[end]
+    return found
+
+
+def _facts_of(raw: bytes | None) -> tuple:
+    b = np.frombuffer(raw or b"", np.uint8)
+    counts = np.bincount(b, minlength=256) if len(b) <= PIECE else sum(np.bincount(b[k : k + PIECE], minlength=256) for k in range(0, len(b), PIECE))
+    some = counts[counts > 0]
+    top = np.lexsort((np.arange(256), -counts))[:2]
+    pairs = np.zeros(5, np.int64)
+    for k in range(0, len(b) - 1, PIECE):
+        part = b[k : k + PIECE + 1].astype(np.int64)
+        x, y = part[:-1], part[1:]
+        pairs += [x.sum(), y.sum(), x @ x, y @ y, x @ y]
+    inside = size = 0
+    for n in _runs(b):
+        left = n % 259
+        inside += int(n[n >= 4].sum())
+        size += int((n // 259 * 5 + np.where(left >= 4, 5, left)).sum())
+    return (
+        len(b), len(some), float((some * np.log2(some)).sum()), counts[top[0]], top[0], counts[top[1]], top[1], max(len(b) - 1, 0), *pairs,
+        inside, size, _near_matches(b), max(len(b) - 2, 0), counts.tolist(),
+    )
+
+
+def facts(data: DataFrame, sample_size: int = 0) -> DataFrame:
+    """doc_id and FACTS of each value's first sample_size bytes (0: of all)."""
+    own = data.select("doc_id", F.substring("data", 1, sample_size).alias("data") if sample_size else F.col("data"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pd.DataFrame([_facts_of(x) for x in pdf["data"]], columns=[c.split()[0] for c in FACTS.split(", ")])
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out
+
+    return own.mapInPandas(run, f"doc_id {dict(own.dtypes)['doc_id']}, {FACTS}")
 
 
 def histogram(data: DataFrame) -> DataFrame:
     """(doc_id, b, n)."""
-    return bytes_of(data, "doc_id").groupBy("doc_id", "b").agg(F.count("*").alias("n"))
+    return facts(data).select("doc_id", F.posexplode("counts").alias("b", "n")).where("n > 0")
 
 
 def _entropy(total: Column, n_log_n: Column) -> Column:
     return F.when(total > 0, F.greatest(F.log2(total) - n_log_n / total, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
 def entropy(data: DataFrame) -> DataFrame:
     """(doc_id, total, used, entropy): Shannon entropy in bits per byte."""
-    per = histogram(data).groupBy("doc_id").agg(F.sum("n").alias("total"), F.count("*").alias("used"), F.sum(F.col("n") * F.log2("n")).alias("_nln"))
-    out = data.select("doc_id").join(per, "doc_id", "left")
-    total = F.coalesce("total", F.lit(0))
-    return out.select("doc_id", total.alias("total"), F.coalesce("used", F.lit(0)).alias("used"), F.round(_entropy(total, F.col("_nln")), ROUND).alias("entropy"))
+    n = F.col("input_len")
+    return facts(data).select("doc_id", n.alias("total"), F.col("used").cast("long").alias("used"), F.round(_entropy(n, F.col("nln")), ROUND).alias("entropy"))
 
 
-def _correlation(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
-    """Pearson's, from exact whole sums; 0 for constant data."""
+def _correlation() -> Column:
+    """Pearson's, of neighbouring bytes, from exact whole sums; 0 for constant data."""
+    n, sx, sy, sxx, syy, sxy = (F.col(c).cast("decimal(19,0)") for c in ("pairs", "sx", "sy", "sxx", "syy", "sxy"))
     spread = (n * sxx - sx * sx).cast("double") * (n * syy - sy * sy).cast("double")
-    return F.when(spread > 0, (n * sxy - sx * sy) / F.sqrt(spread)).otherwise(F.lit(0.0))
+    return F.when(spread > 0, (n * sxy - sx * sy).cast("double") / F.sqrt(spread)).otherwise(F.lit(0.0))
 
 
 def autocorrelation(data: DataFrame) -> DataFrame:
-    """(doc_id, autocorrelation_lag1) of neighbouring bytes, inside the row."""
-    b = byte_values(F.col("data"))
-    rows = data.select("doc_id", b.alias("b"))
-    pairs = rows.select("doc_id", F.explode_outer(F.when(F.size("b") > 1, F.arrays_zip(F.slice("b", F.lit(1), F.size("b") - 1).alias("x"), F.slice("b", F.lit(2), F.size("b") - 1).alias("y")))).alias("p"))
-    x, y = F.col("p.x").cast("long"), F.col("p.y").cast("long")
-    per = pairs.groupBy("doc_id").agg(F.count("p").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    return per.select("doc_id", F.round(F.coalesce(_correlation(*map(F.col, ("n", "sx", "sy", "sxx", "syy", "sxy"))), F.lit(0.0)), ROUND).alias("autocorrelation_lag1"))
-
-
-def run_lengths(data: Column) -> Column:
-    """Lengths of all maximal runs of equal bytes."""
-    runs = F.regexp_extract_all(latin(data), F.lit(r"((?s:.))\1*"), F.lit(0))
-    return F.transform(runs, lambda r: F.length(r))
-
-
-def run_ratio_of(data: Column) -> Column:
-    """Share of bytes in runs of 4 or more."""
-    long_runs = F.regexp_extract_all(latin(data), F.lit(r"((?s:.))\1{3,}"), F.lit(0))
-    inside = F.aggregate(long_runs, F.lit(0).cast("long"), lambda a, r: a + F.length(r))
-    n = F.octet_length(data)
-    return F.when(n > 0, inside / n).otherwise(F.lit(0.0))
+    """(doc_id, autocorrelation_lag1)."""
+    return facts(data).select("doc_id", F.round(_correlation(), ROUND).alias("autocorrelation_lag1"))
 
 
 def run_ratio(data: DataFrame) -> DataFrame:
-    return data.select("doc_id", F.round(run_ratio_of(F.col("data")), ROUND).alias("run_ratio"))
-
+    """(doc_id, run_ratio): share of bytes in runs of 4 or more."""
+    return facts(data).select("doc_id", F.round(_share(F.col("run_bytes"), F.col("input_len")), ROUND).alias("run_ratio"))
 
-def rle_size_of(data: Column) -> Column:
-    """Bytes after run-length coding: four literals and a count for each run of 4 to 259, literals for shorter ones."""
-    size = lambda r: F.floor(r / 259) * 5 + F.when(r % 259 >= 4, 5).otherwise(r % 259)
-    return F.aggregate(run_lengths(data), F.lit(0).cast("long"), lambda a, r: a + size(r))
 
-
-def trigrams(data: DataFrame) -> DataFrame:
-    """(doc_id, pos, x, y, z): every place with the two bytes after it (null past the end)."""
-    b = F.col("b")
-    rows = data.select("doc_id", byte_values(F.col("data")).alias("b"))
-    n = F.size("b")
-    shift = lambda k: F.when(n > k, F.slice(b, F.lit(k + 1), n - k)).otherwise(F.array().cast("array<int>"))
-    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(b.alias("x"), shift(1).alias("y"), shift(2).alias("z"))).alias("pos", "t"))
-    return rows.select("doc_id", "pos", "t.x", "t.y", "t.z")
-
-
-def matches(tri: DataFrame) -> DataFrame:
-    """Adds m: 1 where the last place in the same hash slot is near and has the same three bytes."""
-    slot = W.partitionBy("doc_id", "h").orderBy("pos")
-    word = F.shiftleft("x", 16) + F.shiftleft("y", 8) + F.col("z")
-    tri = tri.withColumn("h", F.when(F.col("z").isNotNull(), hash3(F.col("x"), F.col("y"), F.col("z"), MATCH_HASH_BITS))).withColumn("w", word)
-    near = (F.col("pos") - F.lag("pos").over(slot) <= MATCH_WINDOW) & (F.lag("w").over(slot) == F.col("w"))
-    return tri.withColumn("m", F.when(F.col("h").isNotNull() & F.coalesce(near, F.lit(False)), 1).otherwise(0))
+def rle_size(data: DataFrame) -> DataFrame:
+    """(doc_id, length, rle_size): bytes after run-length coding: four literals and a count for each run of 4 to 259, literals for shorter ones."""
+    return facts(data).select("doc_id", F.col("input_len").alias("length"), "rle_size")
 
 
 def match_density(data: DataFrame) -> DataFrame:
-    """(doc_id, match_density): the rows are dealt by document before they are exploded, so no byte row moves."""
-    own = data.repartition("doc_id")
-    per = matches(trigrams(own)).groupBy("doc_id").agg(F.sum("m").alias("m"), F.count("z").alias("n"))
-    return own.select("doc_id").join(per, "doc_id", "left").select("doc_id", F.round(F.when(F.col("n") > 0, F.col("m") / F.col("n")).otherwise(F.lit(0.0)), ROUND).alias("match_density"))
+    """(doc_id, match_density): share of the places that have a near match."""
+    return facts(data).select("doc_id", F.round(_share(F.col("matches"), F.col("places")), ROUND).alias("match_density"))
 
 
 def shape_of(entropy_: Column, used: Column, bimodal: Column) -> Column:
@@ -108,40 +151,19 @@ def shape_of(entropy_: Column, used: Column, bimodal: Column) -> Column:
     )
 
 
-def bimodal_of(total: Column, top: Column) -> Column:
-    """top: structs (n, b), most frequent first, lower byte first on ties. Two peaks of 5 % each, 64 values apart."""
+def bimodal_of(total: Column, n1: Column, b1: Column, n2: Column, b2: Column) -> Column:
+    """By the two most frequent bytes, the lower first on ties: two peaks of 5 % each, 64 values apart."""
     least = F.floor(total * 0.05)
-    return (F.size(top) > 1) & (F.get(top, F.lit(0))["n"] >= least) & (F.get(top, F.lit(1))["n"] >= least) & (F.abs(F.get(top, F.lit(0))["b"] - F.get(top, F.lit(1))["b"]) >= 64)
+    return (n2 > 0) & (n1 >= least) & (n2 >= least) & (F.abs(b1 - b2) >= 64)
 
 
 def profile(data: DataFrame, sample_size: int = 65536) -> DataFrame:
-    """All statistics of each value's first sample_size bytes (0: of all), from one pass over byte rows.
-
-    One exchange, of the values themselves; windows, sums and joins after it keep to their partitions.
-    """
-    own = data.select("doc_id", F.substring("data", 1, sample_size).alias("data") if sample_size else F.col("data")).repartition("doc_id")
-    x, y = F.col("x").cast("long"), F.col("y").cast("long")
-    per_byte = matches(trigrams(own)).groupBy("doc_id", "x").agg(
-        F.count("*").alias("n"), F.count("y").alias("pairs"), F.sum("y").alias("sy"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"), F.sum("m").alias("m"), F.count("z").alias("places")
-    )
-    px = F.col("x").cast("long")
-    per = per_byte.groupBy("doc_id").agg(
-        F.sum("n").alias("total"), F.count("*").alias("used"), F.sum(F.col("n") * F.log2("n")).alias("nln"),
-        F.sum("pairs").alias("pairs"), F.sum(px * F.col("pairs")).alias("sx"), F.sum(px * px * F.col("pairs")).alias("sxx"), F.sum("sy").alias("sy"), F.sum("syy").alias("syy"), F.sum("sxy").alias("sxy"),
-        F.sum("m").alias("m"), F.sum("places").alias("places"),
-        # at most 256 structs
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("x").alias("b"), F.col("n").alias("n")))), 1, 2).alias("top"),
-    )
-    runs = own.select("doc_id", run_ratio_of(F.col("data")).alias("run_ratio"), F.octet_length("data").alias("input_len"))
-    all_ = runs.join(per, "doc_id", "left")
-    h = F.coalesce(_entropy(F.col("total"), F.col("nln")), F.lit(0.0))
-    used = F.coalesce("used", F.lit(0))
-    c = F.coalesce(_correlation(*map(F.col, ("pairs", "sx", "sy", "sxx", "syy", "sxy"))), F.lit(0.0))
-    return all_.select(
-        "doc_id", F.round(h, ROUND).alias("byte_entropy"), F.round(c, ROUND).alias("autocorrelation_lag1"), F.round("run_ratio", ROUND).alias("run_ratio"),
-        F.round(F.when(F.col("places") > 0, F.col("m") / F.col("places")).otherwise(F.lit(0.0)), ROUND).alias("match_density"),
-        shape_of(h, used, F.coalesce(bimodal_of(F.col("total"), F.col("top")), F.lit(False))).alias("distribution_shape"),
-        used.cast("int").alias("distinct_bytes"), F.col("input_len").cast("long").alias("input_len"),
+    """All statistics of each value's first sample_size bytes (0: of all), from one pass over the values."""
+    n, used, h = F.col("input_len"), F.col("used"), _entropy(F.col("input_len"), F.col("nln"))
+    return facts(data, sample_size).select(
+        "doc_id", F.round(h, ROUND).alias("byte_entropy"), F.round(_correlation(), ROUND).alias("autocorrelation_lag1"), F.round(_share(F.col("run_bytes"), n), ROUND).alias("run_ratio"),
+        F.round(_share(F.col("matches"), F.col("places")), ROUND).alias("match_density"), shape_of(h, used, bimodal_of(n, *map(F.col, ("n1", "b1", "n2", "b2")))).alias("distribution_shape"),
+        used.alias("distinct_bytes"), n.alias("input_len"),
     )
 
 
@@ -167,6 +189,16 @@ def chain_depth_rule(length: Column) -> Column:
     return F.when(length >= 4 << 20, 24).when(length >= 1 << 20, 32).when(length >= 256 << 10, 48).otherwise(64)
 
 
+#: Block sizes where the caller leaves the default.
+DEFAULT_BLOCK, BW_BLOCK, DEVICE_BLOCK = 256 << 10, 512 << 10, 128 << 10
+
+
+def block_size_rule(pipeline: Column, asked: Column | None = None, device: bool = False) -> Column:
+    """Bytes of a block: what was asked for if that isn't the default; else more for the block-sorting pipelines and less for others on a device."""
+    asked = F.lit(DEFAULT_BLOCK) if asked is None else asked
+    return F.when(asked != DEFAULT_BLOCK, asked).when(pipeline.isin("bw", "bbw"), BW_BLOCK).otherwise(DEVICE_BLOCK if device else DEFAULT_BLOCK).cast("long")
+
+
 def accuracy_rule(used: Column) -> Column:
     """Table bits for a state machine over so many symbols: room for four slots each, 5 to 12 bits; 7 for none."""
     return F.when(used == 0, 7).otherwise(F.greatest(F.lit(5), F.least(F.lit(12), F.length(F.bin(used * 4 - 1))))).cast("int")
@@ -206,3 +238,15 @@ def literal_costs(hist: DataFrame) -> DataFrame:
     """(doc_id, b, cost): what a literal costs, in 1/256 bit, rounded down."""
     p = F.col("n") / F.sum("n").over(W.partitionBy("doc_id"))
     return hist.select("doc_id", "b", F.floor(F.round(-F.log2(p) * 256, 6)).cast("long").alias("cost"))
+
+
+#: Fixed values, in 1/256 bit: a flag, a code, the rebate for the two commonest offset codes, a repeated offset, the length code after one; a byte never seen.
+FLAG, CODE, NEAR, REPEAT, REPEAT_LENGTH, UNSEEN = 256, 1024, 512, 512, 768, 2048
+
+
+def match_cost(offset: Column, length: Column, next_literal: Column, repeat: Column, least: int = 3) -> Column:
+    """What a match and the literal after it cost, in 1/256 bit; a repeated offset needs no extra bits of its own."""
+    n = length - least + 1
+    plain = 2 * CODE - F.when(fb.value_code(offset) <= 1, NEAR).otherwise(0) + (fb.value_extra_bits(offset) + fb.value_extra_bits(n)) * 256
+    again = REPEAT + REPEAT_LENGTH + fb.value_extra_bits(n) * 256
+    return (F.when(repeat, again).otherwise(plain) + FLAG + F.coalesce(next_literal, F.lit(UNSEEN))).cast("long")

@@ -6,11 +6,13 @@ same transforms for large blocks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bytes import byte_values, latin
+from ..functions.bytes import byte_values
+from .codecs import rle_encode
 
 BLOCK = 64
 
@@ -41,16 +43,20 @@ def suffix_array(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block_idx", F.array_join(F.transform(rows, lambda x: x["p"]), ",").alias("suffixes"))
 
 
-def lyndon(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_idx, starts): starts of the Lyndon factors - suffixes below all earlier ones."""
-    data = F.col("data")
+def lyndon_starts(data: Column) -> Column:
+    """Starts of the Lyndon factors - suffixes below all earlier ones."""
     whole = F.struct(data.alias("least"), F.array(F.lit(0)).alias("starts"))
 
     def step(a: Column, p: Column) -> Column:
         s = _part(data, p, F.octet_length(data))
         return F.struct(F.least(a["least"], s).alias("least"), F.when(s < a["least"], F.concat(a["starts"], F.array(p))).otherwise(a["starts"]).alias("starts"))
 
-    return blocks.select("doc_id", "block_idx", F.array_join(F.aggregate(_positions(data), whole, step, lambda a: a["starts"]), ",").alias("starts"))
+    return F.aggregate(_positions(data), whole, step, lambda a: a["starts"])
+
+
+def lyndon(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block_idx, starts)."""
+    return blocks.select("doc_id", "block_idx", F.array_join(lyndon_starts(F.col("data")), ",").alias("starts"))
 
 
 def mtf(blocks: DataFrame) -> DataFrame:
@@ -72,21 +78,39 @@ def mtf(blocks: DataFrame) -> DataFrame:
 
 def rle(data: DataFrame) -> DataFrame:
     """(doc_id, size, encoded): four literals and a count for runs of 4 to 259, as hex."""
-    runs = F.regexp_extract_all(latin(F.col("data")), F.lit(r"((?s:.))\1*"), F.lit(0))
 
-    def code(r: Column) -> Column:
-        c, n = F.lpad(F.hex(F.ascii(r).cast("long")), 2, "0"), F.length(r)
-        four, left = F.repeat(c, F.lit(4)), n % 259
-        tail = F.when(left >= 4, F.concat(four, F.lpad(F.hex((left - 4).cast("long")), 2, "0"))).otherwise(F.repeat(c, left))
-        return F.concat(F.repeat(F.concat(four, F.lit("FF")), F.floor(n / 259).cast("int")), tail)
+    @F.pandas_udf("binary")
+    def code(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: rle_encode(bytes(x or b"")))
+
+    out = data.select("doc_id", code("data").alias("raw"))
+    return out.select("doc_id", F.octet_length("raw").cast("long").alias("size"), F.hex("raw").alias("encoded"))
 
-    out = data.select("doc_id", F.array_join(F.transform(runs, code), "").alias("encoded"))
-    return out.select("doc_id", (F.length("encoded") / 2).cast("long").alias("size"), "encoded")
+
+def bijective_bwt(blocks: DataFrame) -> DataFrame:
+    """(doc_id, block_idx, bwt, lengths): the last columns of the sorted rotations of each Lyndon factor, on end, as hex, and the factors' lengths."""
+    data, n = F.col("data"), F.octet_length("data")
+    rows = blocks.select("doc_id", "block_idx", "data", lyndon_starts(data).alias("starts"))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(n))
+    rows = rows.select("doc_id", "block_idx", "data", F.arrays_zip(F.col("starts").alias("a"), ends.alias("z")).alias("factors"))
+
+    def last_column(f: Column) -> Column:
+        size = f["z"] - f["a"]
+        twice = F.concat(_part(data, f["a"], size), _part(data, f["a"], size))
+        rotations = F.array_sort(F.transform(F.sequence(F.lit(0), size - 1), lambda p: F.struct(_part(twice, p, size).alias("r"), _part(twice, p + size - 1, F.lit(1)).alias("l"))))
+        return F.array_join(F.transform(rotations, lambda x: F.hex(x["l"])), "")
+
+    return rows.select("doc_id", "block_idx", F.array_join(F.transform("factors", last_column), "").alias("bwt"), F.array_join(F.transform("factors", lambda f: f["z"] - f["a"]), ",").alias("lengths"))
 
 
 def sort_matches(blocks: DataFrame, candidates: int = 8, least: int = 4, window: int = 65535, longest: int = 260) -> DataFrame:
     """(doc_id, block_idx, pos, offset, length): for each place the longest match among the last `candidates` places that
     begin with the same four bytes; the earliest of equal ones; lengths are cut at `longest`."""
+    return top_matches(blocks, 1, candidates, least, window, longest).drop("rank")
+
+
+def top_matches(blocks: DataFrame, k: int = 4, candidates: int = 8, least: int = 4, window: int = 65535, longest: int = 260) -> DataFrame:
+    """(doc_id, block_idx, pos, rank, offset, length): the k best of a place's matches, longest first, the earliest of equal ones first; offsets differ."""
     # dealt by document while the rows are still blocks; the windows below keep to these partitions
     rows = blocks.repartition("doc_id").withColumn("n", F.octet_length("data")).where(F.col("n") > least)
     rows = rows.select("doc_id", "block_idx", "data", "n", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("pos"))
@@ -102,5 +126,5 @@ def sort_matches(blocks: DataFrame, candidates: int = 8, least: int = 4, window:
         return F.aggregate(steps, F.lit(least), lambda k, step: F.when((k + step <= most) & (part(q, k + step) == part(p, k + step)), k + step).otherwise(k))
 
     found = F.transform(F.filter("earlier", lambda q: p - q <= window), lambda q: F.struct(reach(q).alias("length"), (p - q).alias("offset")))
-    rows = rows.select("doc_id", "block_idx", "pos", F.array_max(found).alias("best")).where("best is not null")  # larger offset: earlier source
-    return rows.select("doc_id", "block_idx", "pos", "best.offset", "best.length")
+    rows = rows.select("doc_id", "block_idx", "pos", F.posexplode(F.slice(F.sort_array(found, asc=False), 1, k)).alias("rank", "best"))  # larger offset: earlier source
+    return rows.select("doc_id", "block_idx", "pos", (F.col("rank") + 1).alias("rank"), "best.offset", "best.length")

@@ -123,6 +123,22 @@ def select_match_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.profile(docs(spark, sf_dir), 0).select("doc_id", stats.finder_rule(n).alias("match_finder"), stats.chain_depth_rule(n).alias("chain_depth"))
 
 
+@query(f"WITH {_PROFILE} SELECT doc_id, pipeline, (CASE WHEN pipeline = 'bw' THEN 524288 ELSE 262144 END)::BIGINT AS block_size FROM rule")
+def select_block_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.profile(docs(spark, sf_dir), 0).select("doc_id", stats.pipeline_rule().alias("pipeline"))
+    return rows.withColumn("block_size", stats.block_size_rule(F.col("pipeline")))
+
+
+#: Bytes that a bounded profile looks at.
+SAMPLE = 512
+
+
+@query(f"WITH {_PROFILE.replace(_D, _D.replace("hex(encode(coalesce(text, '')))", f"substr(hex(encode(coalesce(text, ''))), 1, {2 * SAMPLE})"))} SELECT * FROM pf")
+def sampled_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of each value's first bytes: what a choice of codec looks at."""
+    return stats.profile(docs(spark, sf_dir), SAMPLE)
+
+
 @query(f"""WITH {_H}, u AS (SELECT d.doc_id, count(h.b) AS used FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id)
 SELECT doc_id, CASE WHEN used = 0 THEN 7 ELSE greatest(5, least(12, ceil(log2(4 * used))))::INT END AS accuracy_log, CASE WHEN used <= 8 THEN 10 WHEN used >= 64 THEN 13 ELSE 12 END AS scale_bits FROM u""")
 def coder_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +163,7 @@ o AS (SELECT doc_id, string_agg(repeat(repeat(c, 4) || 'FF', q::BIGINT) || CASE
 
 @query(f"WITH {_RUNS}, s AS (SELECT doc_id, sum(5 * (len // 259) + CASE WHEN len % 259 >= 4 THEN 5 ELSE len % 259 END)::BIGINT AS size FROM runs GROUP BY doc_id) SELECT a.doc_id, a.n::BIGINT AS length, coalesce(s.size, 0)::BIGINT AS rle_size FROM a LEFT JOIN s USING (doc_id)")
 def rle_encoded_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", F.octet_length("data").cast("long").alias("length"), stats.rle_size_of(F.col("data")).alias("rle_size"))
+    return stats.rle_size(docs(spark, sf_dir))
 
 
 @query(f"WITH {_RLE} SELECT d.doc_id, (len(coalesce(encoded, '')) // 2)::BIGINT AS size, md5(coalesce(encoded, '')) AS digest FROM d LEFT JOIN o USING (doc_id)")
@@ -173,6 +189,17 @@ def lyndon_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.lyndon(blocks(docs(spark, sf_dir), ROW_BLOCK))
 
 
+@query(f"""WITH {_POS}, s AS (SELECT doc_id, block_idx, pos, row_number() OVER (PARTITION BY doc_id, block_idx ORDER BY substr(h, pos * 2 + 1)) AS rk FROM p),
+m AS (SELECT *, min(rk) OVER (PARTITION BY doc_id, block_idx ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM s),
+st AS (SELECT doc_id, block_idx, pos AS a, lead(pos) OVER (PARTITION BY doc_id, block_idx ORDER BY pos) AS z FROM m WHERE low IS NULL OR rk < low),
+f AS (SELECT st.doc_id, st.block_idx, a, coalesce(z, k.n) - a AS len, substr(k.h, a * 2 + 1, (coalesce(z, k.n) - a) * 2) AS w FROM st JOIN k USING (doc_id, block_idx)),
+ro AS (SELECT *, unnest(range(len)) AS q FROM f),
+o AS (SELECT doc_id, block_idx, a, len, string_agg(substr(w || w, (q + len - 1) * 2 + 1, 2), '' ORDER BY substr(w || w, q * 2 + 1, len * 2)) AS l FROM ro GROUP BY ALL)
+SELECT doc_id, block_idx, string_agg(l, '' ORDER BY a) AS bwt, string_agg(len::VARCHAR, ',' ORDER BY a) AS lengths FROM o GROUP BY doc_id, block_idx""")
+def bijective_bwt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.bijective_bwt(blocks(docs(spark, sf_dir), ROW_BLOCK))
+
+
 @query(f"""WITH {_ROW}, y AS (SELECT doc_id, block_idx, unnest([('0x' || x)::INT FOR x IN regexp_extract_all(h, '..')]) AS b, unnest(range(n))::INT AS pos FROM k),
 l AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id, block_idx, b ORDER BY pos) AS last FROM y),
 r AS (SELECT i.doc_id, i.block_idx, i.pos, i.b, i.last, count(DISTINCT j.b) FILTER (j.pos > i.last) AS since, count(DISTINCT j.b) FILTER (j.b > i.b) AS larger
@@ -194,6 +221,25 @@ def sort_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.sort_matches(blocks(docs(spark, sf_dir), ROW_BLOCK))
 
 
+@query(f"""WITH {_SORTLZ} SELECT doc_id, block_idx, pos, r::INT AS rank, "offset", length FROM b WHERE r <= 4""")
+def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.top_matches(blocks(docs(spark, sf_dir), ROW_BLOCK), 4)
+
+
+# the k-th recent offset is the one with k distinct offsets since; a 1 stands before the first match
+_SLOTS = _SORTLZ + """, s0 AS (SELECT doc_id, block_idx, pos, "offset", length FROM sm UNION ALL SELECT DISTINCT doc_id, block_idx, -1, 1, 0 FROM sm),
+sl AS (SELECT *, lag(pos) OVER (PARTITION BY doc_id, block_idx, "offset" ORDER BY pos) AS last FROM s0),
+sc AS (SELECT i.doc_id, i.block_idx, i.pos, i."offset", i.length, i.last, count(DISTINCT j."offset") AS since FROM sl i LEFT JOIN sl j ON i.doc_id = j.doc_id AND i.block_idx = j.block_idx AND j.pos > i.last AND j.pos < i.pos
+  WHERE i.pos >= 0 GROUP BY ALL),
+so AS (SELECT doc_id, block_idx, pos, "offset", length, (CASE WHEN last IS NULL OR since > 2 THEN -1 ELSE since END)::INT AS slot FROM sc)"""
+
+
+@query(f"WITH {_SLOTS} SELECT * FROM so")
+def repeat_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the three recent offsets each match of a block repeats."""
+    return lz.repeated(transforms.sort_matches(blocks(docs(spark, sf_dir), ROW_BLOCK)), "pos", "offset").select("doc_id", "block_idx", "pos", "offset", "length", "slot")
+
+
 _CODE = "CASE WHEN {v} <= 2 THEN {v} - 1 ELSE floor(log2({v} - 1))::INT + 1 END"
 
 
@@ -257,6 +303,22 @@ def literal_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.literal_costs(stats.histogram(docs(spark, sf_dir)))
 
 
+@query(f"""WITH {_SLOTS}, hx AS (SELECT doc_id, [('0x' || x)::INT FOR x IN regexp_extract_all(h, '..')] AS v FROM d), hb AS (SELECT doc_id, unnest(v) AS b FROM hx), hn AS (SELECT doc_id, b, count(*) AS n FROM hb GROUP BY ALL),
+lc AS (SELECT doc_id, b, floor(round(-log2(n / sum(n) OVER (PARTITION BY doc_id)) * 256, 6))::BIGINT AS cost FROM hn),
+q AS (SELECT so.*, k.n, CASE WHEN so.pos + length < k.n THEN ('0x' || substr(k.h, (so.pos + length) * 2 + 1, 2))::INT END AS b, {_CODE.format(v='"offset"')} AS oc, {_CODE.format(v='(length - 2)')} AS lg FROM so JOIN k USING (doc_id, block_idx)),
+wc AS (SELECT doc_id, block_idx, pos, slot, b, CASE WHEN slot >= 0 THEN 1280 ELSE 2048 - CASE WHEN oc <= 1 THEN 512 ELSE 0 END + greatest(oc - 1, 0) * 256 END + greatest(lg - 1, 0) * 256 + 256 AS own FROM q)
+SELECT wc.doc_id, block_idx, pos, slot, (own + coalesce(lc.cost, 2048))::BIGINT AS cost FROM wc LEFT JOIN lc ON wc.doc_id = lc.doc_id AND wc.b = lc.b""")
+def match_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each match costs with the literal after it, repeated offsets cheaper; a block's end counts as a byte never seen."""
+    data = docs(spark, sf_dir)
+    cut = blocks(data, ROW_BLOCK)
+    rows = lz.repeated(transforms.sort_matches(cut), "pos", "offset").join(cut.select("doc_id", "block_idx", "data"), ["doc_id", "block_idx"])
+    after = F.col("pos") + F.col("length")
+    rows = rows.withColumn("b", F.when(after < F.octet_length("data"), F.ascii(fb.latin(F.substring("data", after + 1, F.lit(1))))))
+    rows = rows.join(stats.literal_costs(stats.histogram(data)), ["doc_id", "b"], "left")
+    return rows.select("doc_id", "block_idx", "pos", "slot", stats.match_cost(F.col("offset"), F.col("length"), F.col("cost"), F.col("slot") >= 0).alias("cost"))
+
+
 @query()
 def huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.huffman(stats.histogram(docs(spark, sf_dir)))

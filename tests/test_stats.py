@@ -4,12 +4,13 @@ import math
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from byteloom.functions import bytes as fb
-from byteloom.operators import codecs, stats, transforms
-from byteloom.sources.relations import blocks
+from byteloom.operators import codecs, lz, stats, transforms
+from byteloom.sources.relations import blocks, file_stream, files
 
 VECTORS = {
     "empty": b"", "single_byte": b"*", "two_bytes": b"\x00\xff", "zeros": bytes(500), "uniform": bytes(range(256)), "skewed": bytes(1 if i % 10 == 0 else 0 for i in range(1000)),
@@ -117,7 +118,7 @@ def test_normalised_counts(data, bits):
 
 def test_rle(data):
     got = {r["doc_id"]: r for r in transforms.rle(data).collect()}
-    sizes = rows(data.select("doc_id", stats.rle_size_of(F.col("data")).alias("s")), "s")
+    sizes = rows(stats.rle_size(data), "rle_size")
     for k, x in VECTORS.items():
         assert bytes.fromhex(got[k]["encoded"]) == codecs.rle_encode(x) and sizes[k] == got[k]["size"] == len(codecs.rle_encode(x))
         assert codecs.rle_decode(codecs.rle_encode(x)) == x
@@ -216,3 +217,56 @@ def test_rans(data):
     state, words = rans.encode([np.array([0, 1] * 50)], f, np.cumsum(f, axis=1) - f)
     with pytest.raises(ValueError):
         rans.decode(state, [w[:-1] for w in words], np.array([100]), f, np.cumsum(f, axis=1) - f)
+
+
+def test_rows_with_equal_and_null_ids_are_values_of_their_own(spark):
+    rows = [("a", bytearray(b"aaaa")), ("a", bytearray(b"bb")), (None, bytearray(b"c")), (None, None), ("a", bytearray(b"aaaa"))]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "doc_id string, data binary, n int")
+    assert sorted((r["doc_id"] or "", r["b"], r["n"]) for r in stats.histogram(df).collect()) == [("", 99, 1), ("a", 97, 4), ("a", 97, 4), ("a", 98, 2)]
+    assert sorted((r["doc_id"] or "", r["input_len"]) for r in stats.profile(df).collect()) == [("", 0), ("", 1), ("a", 2), ("a", 4), ("a", 4)]
+    assert stats.profile(df.limit(0)).count() == stats.histogram(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", [1, 3, 100, 4096])
+def test_statistics_do_not_depend_on_the_piece(monkeypatch, piece):
+    whole = {k: stats._facts_of(v) for k, v in VECTORS.items()}
+    monkeypatch.setattr(stats, "PIECE", piece)
+    assert {k: stats._facts_of(v) for k, v in VECTORS.items()} == whole
+
+
+def test_repeat_slots():
+    def brute(offsets):
+        a = [1, 1, 1]
+        for x in offsets:
+            if x in a:
+                k = a.index(x)
+                yield k
+                a = [a[k], *a[:k], *a[k + 1 :]]
+            else:
+                yield -1
+                a = [x, a[0], a[1]]
+
+    rng = random.Random(1)
+    rows = [[5, 5, 7, 1], [], [1, 1], *[[rng.choice([1, 2, 5, 7, 9]) for _ in range(300)] for _ in range(5)]]
+    assert lz.repeat_slots(pd.Series(rows)).tolist() == [list(brute(r)) for r in rows]
+    assert lz.repeat_slots(pd.Series([[5, 5, 7, 1, 9, 5]])).tolist() == [[-1, 0, -1, 2, -1, -1]]
+
+
+def test_block_size_rule(spark):
+    df = spark.createDataFrame([("bw", 262144), ("bbw", 262144), ("lzf", 262144), ("bw", 1000)], "p string, asked int")
+    p, asked = F.col("p"), F.col("asked")
+    got = df.select(stats.block_size_rule(p, asked).alias("a"), stats.block_size_rule(p, asked, device=True).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(524288, 524288), (524288, 524288), (262144, 131072), (1000, 1000)]
+
+
+def test_files(spark, tmp_path):
+    for k, v in VECTORS.items():
+        (tmp_path / "in" / k[0]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / k[0] / f"{k}.bin").write_bytes(v)
+    (tmp_path / "in" / "note.txt").write_text("no")
+    got = files(spark, f"{tmp_path}/in", "*.bin")
+    assert {r["doc_id"].rsplit("/", 1)[1][:-4]: bytes(r["data"]) for r in got.collect()} == VECTORS
+    query = file_stream(spark, f"{tmp_path}/in", 4).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    back = spark.read.parquet(f"{tmp_path}/out").where("doc_id like '%.bin'")
+    assert {r["doc_id"].rsplit("/", 1)[1][:-4]: bytes(r["data"]) for r in back.collect()} == {k: v for k, v in VECTORS.items() if v}
