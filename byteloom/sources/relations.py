@@ -21,13 +21,13 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(doc_id, data) of whole files under a folder; doc_id is the file's path. A file is one row."""
+    """(doc_id, data) of whole files under a folder; doc_id is the file's path. A file is one row; Spark passes over empty files."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (read.option("pathGlobFilter", glob) if glob else read).load(path).select(F.col("path").alias("doc_id"), F.col("content").alias("data"))
 
 
 def file_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
-    """(doc_id, data) of the files that arrive in a folder, as a stream; Spark passes over empty files there."""
+    """(doc_id, data) of the files that arrive in a folder, as a stream."""
     read = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger)
     return read.load(path).select(F.col("path").alias("doc_id"), F.col("content").alias("data"))
 
