@@ -7,11 +7,12 @@ if the Jaccard similarity of their sets is at least THRESHOLD.
 2. Chosen paths: each run of the search starts from one min-hash token that it samples; classes that share
    the token share a bucket. A bucket of more than LEAF classes is split again: it samples one or (so that
    1 / THRESHOLD are drawn on average) two more tokens of the classes' min-hash signatures. A linked pair stays
-   together with a chance of at least THRESHOLD for each token drawn. The search is repeated in as many runs as the target
+   together with a chance of at least THRESHOLD for each token drawn. A part that keeps WHOLE of its bucket's classes is made of sets that
+   are alike, so it isn't split again. The search is repeated in as many runs as the target
    recall needs. Buckets are split level by level, as joins and counts over all rows.
 3. Small buckets are compared by brute force on signatures of SKETCH min-hashes, with an allowance that
-   loses a tenth of the misses which the target recall leaves. A bucket that never gets small (near copies share all their tokens) is cut into blocks
-   of at most BLOCK classes, and each pair of blocks is compared by itself. A bucket reports a
+   loses a tenth of the misses which the target recall leaves. A bucket that doesn't get small (near copies share nearly all their tokens) is cut into blocks
+   of about SKETCH_BLOCK classes, and each pair of blocks is compared by itself. A bucket reports a
    spanning forest of its matches, not its pairs.
 4. The forests' components are candidate groups. Inside a group every pair of classes is checked exactly on the
    full sets, again block against block. Each block pair reports each class's number of linked
@@ -41,7 +42,7 @@ from . import common
 from .components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9999
-LEAF, BLOCK, BLOCK_SHINGLES, DEPTH, SKETCH = 256, 512, 300_000, 5, 64
+LEAF, SKETCH_BLOCK, BLOCK, BLOCK_SHINGLES, DEPTH, SKETCH, WHOLE = 256, 2048, 512, 300_000, 5, 64, 0.8
 _ODD = (common.mix(np.arange(1, 4096, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
@@ -117,23 +118,24 @@ def signatures(rows: DataFrame, runs: int, n: int) -> DataFrame:
 def buckets(classes: DataFrame, threshold: float) -> DataFrame:
     """(k, node, n): the leaves of all runs, of at least two classes each."""
     spark = classes.sparkSession
-    rows = classes.select("k", F.posexplode("roots").alias("run", "token")).select("k", F.xxhash64("run", "token").alias("node"))
+    rows = classes.select("k", F.posexplode("roots").alias("run", "token")).select("k", F.xxhash64("run", "token").alias("node"), F.lit(None).cast("long").alias("was"))
     out = None
     for depth in range(1, DEPTH + 1):
         rows = rows.distinct() if depth > 1 else rows
         rows = common.stored(rows, spark)
-        sized = rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node").select("k", "node", "n")
+        sized = rows.join(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node").select("k", "node", "n", "was")
         sized = common.stored(sized, spark)
-        leaves = sized if depth == DEPTH else sized.where(F.col("n") <= LEAF)
+        leaf = F.lit(depth == DEPTH) | (F.col("n") <= LEAF) | F.coalesce(F.col("n") >= F.col("was") * WHOLE, F.lit(False))
+        leaves = sized.where(leaf).select("k", "node", "n")
         out = leaves if out is None else out.unionByName(leaves)
-        large = sized.where(F.col("n") > LEAF)
+        large = sized.where(~leaf)
         if depth == DEPTH or not large.limit(1).count():
             break
         draw = lambda i: F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH)).cast("int")
         second = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(1000)) < int(1000 * (1 / threshold - 1))
         drawn = F.when(second, F.array(draw(1), draw(2))).otherwise(F.array(draw(1)))
         rows = large.join(classes.select("k", "sketch"), "k").withColumn("at", F.explode(drawn))
-        rows = rows.select("k", F.xxhash64("node", "at", F.substring("sketch", F.col("at") * 2 + 1, F.lit(2))).alias("node"))
+        rows = rows.select("k", F.xxhash64("node", "at", F.substring("sketch", F.col("at") * 2 + 1, F.lit(2))).alias("node"), F.col("n").alias("was"))
     return out
 
 
@@ -162,7 +164,7 @@ def forest(alike, n: int) -> list[tuple[int, int]]:
 def candidates(leaves: DataFrame, classes: DataFrame, threshold: float, recall: float = TARGET_RECALL) -> DataFrame:
     """(a, b): spanning forests of the leaves' likely links."""
     least = least_equal(threshold, recall)
-    rows = in_blocks(leaves.join(classes.select("k", "sketch"), "k"), F.ceil(F.col("n") / BLOCK))
+    rows = in_blocks(leaves.join(classes.select("k", "sketch"), "k"), F.ceil(F.col("n") / SKETCH_BLOCK))
     rows = rows.repartition(common.parallelism(leaves.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j", "k").select("node", "i", "j", "side", "k", "sketch")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
