@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-A text becomes a sequence of template tokens: numbers, units after a number, and capitalised words
+A text becomes a sequence of template tokens: numbers (in digits or words), units after a number, and capitalised words
 become the typed slots <num>, <unit>, <name>; other words are lower-cased and lose outer
 punctuation. Function words (PLAIN) are never names. What another capitalised word is can't be told from
 its place, so both sides are read three times: capitalised words are names inside a sentence only, are names
@@ -45,13 +45,17 @@ UNITS = frozenset(
     "l ml liter liters litre litres s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks "
     "month months year years usd eur gbp dollar dollars euro euros pound pounds cent cents mph kph kmh hz khz mhz ghz w kw v a kb mb gb tb".split()
 )
+#: Numbers in words ("one" is a pronoun too often).
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+)
 #: Words that are no names although they often start a sentence or a line.
 PLAIN = frozenset(
     "a an the this that these those i you he she it we they me him her us them my your his its our their mine yours ours theirs who whom whose "
     "what which when where why how if then else and or nor but so yet because since while although though unless until after before as at by for from in into of off on "
     "onto out over per to under up upon with within without about above across against along among around below beneath beside between beyond down during except inside "
-    "near outside through toward towards is are was were be been being am do does did done has have had having can could may might must shall should will would not no yes "
-    "there here now once each every all any both either neither some many much more most few several other another such one two three four five six seven eight nine ten "
+    "near outside through toward towards is are was were be been being am do does did done has have had having can could might must shall should will would not no yes "
+    "there here now once each every all any both either neither some many much more most few several other another such one "
     "also however therefore thus hence only just let find calculate compute determine solve suppose assume given consider show prove explain describe write list name choose "
     "select answer question".split()
 )
@@ -74,7 +78,7 @@ class Templates:
         for w in new:
             core = _OUTER.sub("", w)
             flags = 0
-            if _NUMBER.fullmatch(w.strip("()[]\"'!?;,.&*#$")) or _NUMBER.fullmatch(core) or ((m := _NUMBER_UNIT.fullmatch(core.lower())) and m[2] in UNITS):
+            if _NUMBER.fullmatch(w.strip("()[]\"'!?;,.&*#$")) or _NUMBER.fullmatch(core) or ((m := _NUMBER_UNIT.fullmatch(core.lower())) and m[2] in UNITS) or core.lower() in NUMBER_WORDS:
                 flags |= self.IS_NUM
             elif not core:
                 flags |= self.EMPTY

@@ -154,7 +154,7 @@ def near_copies():
 @pytest.mark.parametrize("limits", [None, (8, 16, 2000)])
 def test_ngram_join(spark, docs, none, monkeypatch, limits):
     if limits:  # small buckets and blocks, so that splitting and block pairs are used
-        for name, v in zip(("LEAF", "BLOCK", "BLOCK_SHINGLES"), limits):
+        for name, v in zip(("LEAF", "BLOCK", "BLOCK_SHINGLES", "SKETCH_BLOCK"), (*limits, 10)):
             monkeypatch.setattr(ngramjoin, name, v)
     rows = ROWS + near_copies()
     df = docs.unionByName(spark.createDataFrame([(i, t, "en", s, 1, 2, 0.5, 3) for i, t, s in near_copies()], docs.schema))
@@ -404,6 +404,17 @@ def test_decontaminate_reads_capitals_the_same_everywhere(spark):
     assert got[2, 2]["changed_slots"] == 3
 
 
+def test_decontaminate_reads_names_first_and_number_words(spark):
+    item = "Natalia sold 48 clips to her friends in April"
+    bench = spark.createDataFrame([(1, item), (2, "Take 12 red apples out of the 30 baskets and sort them by weight")], "item_id long, text string")
+    rows = [
+        (1, item), (2, item.replace("Natalia", "Marco")), (3, item.replace("Natalia", "Marco").replace("48", "31").replace("April", "May")), (4, f"{prose(12)}. {item.replace('Natalia', 'Ana')}. {prose(5)}"),
+        (5, f"{prose(4)} take twelve red apples out of the thirty baskets and sort them by weight {prose(4)}"), (6, "She sold clips to her friends in April"), (7, "Natalia sold 48 clips to his friends in April"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find(df, bench).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+
+
 def test_window_sums():
     h = np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64)
     for n in (1, 8, 300):
