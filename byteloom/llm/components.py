@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a minimum per node and an equi-join, so no component is ever brought into one task;
-edges are cut from their lineage by checkpoints.
+Every step is a minimum per node and an equi-join in which the nodes of most edges (a star's root holds all of its leaves)
+are joined by broadcast, so no component is ever brought into one task; edges are cut from their lineage by checkpoints.
+Equal edges, loops and edges in both directions count once; without edges there are no rows; null ends are no edges.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from . import common
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
+    return common.hot_join(both.where("v > u"), common.stored(least, edges.sparkSession), "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
