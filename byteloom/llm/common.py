@@ -68,19 +68,6 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-#: Keys that hot_join joins by broadcast: no other key has more than this share of the rows.
-HOT = 1000
-
-
-def hot_join(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
-    """rows joined with facts (stored; one row per key, n: how many rows hold the key), the HOT most frequent keys by broadcast.
-
-    No task gets a frequent key's rows; any other key has at most one row in HOT."""
-    top = facts.orderBy(F.desc(n), key).limit(HOT)
-    cold = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(facts, key)
-    return rows.join(F.broadcast(top), key).unionByName(cold)
-
-
 def fold(doc_id: Column, by: int) -> Column:
     """crc32 of an id's text, modulo by; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by

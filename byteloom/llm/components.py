@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every step is a minimum per node and an equi-join in which the nodes of most edges (a star's root holds all of its leaves)
-are joined by broadcast, so no component is ever brought into one task; edges are cut from their lineage by checkpoints.
+Every step is a minimum per node and an equi-join that adaptive execution can split,
+so no component is ever brought into one task; edges are cut from their lineage by checkpoints.
 Equal edges, loops and edges in both directions count once; without edges there are no rows; null ends are no edges.
 """
 
@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from . import common
 
 
+def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Both given pairs of columns of each row, as rows, in one pass."""
+    return edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("e")).select("e.u", "e.v")
+
+
 def _large(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0")
-    return common.hot_join(both.where("v > u"), common.stored(least, edges.sparkSession), "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    both = _pairs(edges, ("a", "b"), ("b", "a"))
+    # the minima are stored: the join then reads no aggregate, and adaptive execution can split a star's root
+    least = common.stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), edges.sparkSession)
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    return _pairs(down.join(least, "u"), ("v", "m"), ("u", "m")).toDF("a", "b").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

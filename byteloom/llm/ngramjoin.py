@@ -123,8 +123,9 @@ def buckets(classes: DataFrame, threshold: float) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         rows = rows.distinct() if depth > 1 else rows
         rows = common.stored(rows, spark)
+        # counts are stored: the join then reads no aggregate, and adaptive execution can split a hot node's partition
         counts = common.stored(rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), spark)
-        sized = common.stored(common.hot_join(rows, counts, "node", "n").select("k", "node", "n", "was"), spark)
+        sized = common.stored(rows.join(counts, "node").select("k", "node", "n", "was"), spark)
         leaf = F.lit(depth == DEPTH) | (F.col("n") <= LEAF) | F.coalesce(F.col("n") >= F.col("was") * WHOLE, F.lit(False))
         leaves = sized.where(leaf).select("k", "node", "n")
         out = leaves if out is None else out.unionByName(leaves)
