@@ -278,6 +278,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, recall
     tops = tops.join(tops.groupBy("root").agg(F.min("first").alias("top")), "root").select(F.col("node").alias("k"), "top")
     facts = classes.select("k", "weight", "first").join(more, "k", "left").join(tops, "k", "left")
     facts = facts.select("k", "weight", F.coalesce("top", "first").alias("top"), (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    facts = common.stored(facts, spark)  # so that adaptive execution can split a class of very many copies
     out = signed.select("doc_id", "text_hash", "k").join(facts, "k", "left")
     mine = F.struct("doc_id", "text_hash").eqNullSafe(F.col("top"))
     return out.select(
