@@ -5,20 +5,22 @@ pre-tokens of the number of pieces in the best unigram segmentation. The pieces
 SentencePiece file; it ranks its pieces, so a piece's score is the Zipf log-probability
 of its rank, -ln(rank + 1), held as an integer so that sums are exact.
 
-Each task puts the distinct pre-tokens it meets into a trie and fills in the forward (best-prefix) score
-of every node once, from its ancestors: words that start alike share that work. The
-count at the node where a word ends is kept. No shuffle; a worker's memory of counts is
-emptied at a fixed number of words.
+Each task puts the distinct pre-tokens of some million characters of text, but those it has counted before, into a trie and fills in the
+forward (best-prefix) score of every node once, from its ancestors: words that start alike share that work. The trie is
+filled in depth first, in the order of the words, so only one path of it is held. The count at the node where a word ends is
+kept. No shuffle; a worker's memory of counts is emptied at a fixed number of words and doesn't keep words of over LONG characters.
 
 Ties between segmentations of equal score go to the one with fewer tokens. A character that is no piece
 becomes one byte token per UTF-8 byte. Defined cases: null and empty texts have 0 tokens;
-repeated rows are counted each; a very long word is handled whole; other columns are ignored;
+repeated rows are counted each; a very long word is handled whole, in memory of HELD nodes; other columns are ignored;
 an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import os
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,9 @@ from . import common
 
 MARK = "▁"
 SCALE = 1 << 24
-REMEMBERED = 500_000
+REMEMBERED, LONG = 500_000, 256
+#: Characters of text whose new words are put into one trie, and of a word whose nodes are held for the next word.
+CHARS, HELD = 4_000_000, 65_536
 
 
 class Pieces:
@@ -48,54 +52,58 @@ class Pieces:
 
 
 class Trie:
-    """Nodes in the order of insertion, with the forward score and the token counts of their prefix."""
+    """The trie of words that come in order, filled in depth first: only the nodes of the last word's path are held, HELD at most."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.children: list[dict[str, int]] = [{}]
-        self.forward: list[tuple[int, int, int]] = [(0, 0, 0)]  # score, -tokens, -byte tokens: the maximum is the best
+        self.pieces, self.last = pieces, ""
+        self.path: list[tuple[int, int, int]] = [(0, 0, 0)]  # score, -tokens, -byte tokens of each prefix: the maximum is the best
+
+    def forward(self, word: str, end: int, near, base: int) -> tuple[int, int, int]:
+        """The node of word[:end]; near[x - base] is the node of word[:x] for the starts x of possible last pieces."""
+        score, ch, best = self.pieces.score, word[end - 1], None
+        for start in range(max(0, end - self.pieces.longest), end):
+            s = score.get(word[start:end])
+            if s is not None:
+                f, t, b = near[start - base]
+                if best is None or (f + s, t - 1, b) > best:
+                    best = (f + s, t - 1, b)
+        if ch not in score:
+            f, t, b = near[end - 1 - base]
+            n = len(ch.encode("utf-8", "replace"))
+            if best is None or (f + n * self.pieces.byte, t - n, b - n) > best:
+                best = (f + n * self.pieces.byte, t - n, b - n)
+        return best
 
     def count(self, word: str) -> tuple[int, int]:
-        """Inserts a word; the tokens and byte tokens of its best segmentation."""
-        children, forward, score = self.children, self.forward, self.pieces.score
-        longest, node, path = self.pieces.longest, 0, [0]
-        for end, ch in enumerate(word, 1):
-            nxt = children[node].get(ch)
-            if nxt is None:
-                nxt = len(forward)
-                children[node][ch] = nxt
-                children.append({})
-                best = None
-                for start in range(max(0, end - longest), end):
-                    s = score.get(word[start:end])
-                    if s is not None:
-                        f, t, b = forward[path[start]]
-                        if best is None or (f + s, t - 1, b) > best:
-                            best = (f + s, t - 1, b)
-                if ch not in score:
-                    f, t, b = forward[path[end - 1]]
-                    n = len(ch.encode("utf-8", "replace"))
-                    if best is None or (f + n * self.pieces.byte, t - n, b - n) > best:
-                        best = (f + n * self.pieces.byte, t - n, b - n)
-                forward.append(best)
-            node = nxt
-            path.append(node)
-        _, tokens, bytes_ = forward[node]
+        """The tokens and byte tokens of a word's best segmentation; its nodes are made from where it leaves the word before."""
+        path = self.path
+        del path[len(os.path.commonprefix((self.last, word))) + 1 :]
+        for end in range(len(path), min(len(word), HELD) + 1):
+            path.append(self.forward(word, end, path, 0))
+        self.last = word[:HELD]
+        near = path
+        if len(word) > HELD:
+            near = deque(path[-self.pieces.longest :], self.pieces.longest)
+            for end in range(HELD + 1, len(word) + 1):
+                near.append(self.forward(word, end, near, end - len(near)))
+        _, tokens, bytes_ = near[-1]
         return -tokens, -bytes_
 
 
 def count_words(path: str, distinct: set[str]) -> dict[str, tuple[int, int]]:
-    """The worker's memory of counts, with all the given words in it."""
-    pieces, known = common.kept(("pieces", path), lambda: (Pieces(path), {}))
+    """The worker's memory of counts, with all the given words in it; the long ones leave it at the next call."""
+    pieces, known, long = common.kept(("pieces", path), lambda: (Pieces(path), {}, []))
+    while long:
+        known.pop(long.pop(), None)
     new = [w for w in distinct if w not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = list(distinct)
-    new.sort()
-    for k in range(0, len(new), 20_000):  # neighbours in order share most of their prefixes; a trie's memory stays bounded
-        trie = Trie(pieces)
-        for w in new[k : k + 20_000]:
-            known[w] = trie.count(MARK + w)
+    trie = Trie(pieces)
+    for w in sorted(new):
+        known[w] = trie.count(MARK + w)
+        if len(w) > LONG:
+            long.append(w)
     return known
 
 
@@ -106,8 +114,10 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for k in range(0, len(pdf), 256):
-                split = [common.words(t) for t in pdf["text"].iloc[k : k + 256]]
+            texts = pdf["text"].tolist()
+            part = np.cumsum([len(t) for t in texts]) // CHARS
+            for k in np.unique(part):
+                split = [common.words(texts[i]) for i in np.flatnonzero(part == k)]
                 known = count_words(vocabulary, set().union(*split))
                 for ws in split:
                     got = np.array([known[w] for w in ws], np.int64).reshape(-1, 2).sum(axis=0)
