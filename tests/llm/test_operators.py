@@ -218,6 +218,16 @@ def test_token_counts(docs, none):
         want[i, len(ws), sum(x for x, _ in n), sum(x for _, x in n)] += 1
     assert got == want and tokencount.token_counts(none, PIECES).count() == 0
 
+    rng = random.Random(3)
+    some = sorted({"▁" + "".join(rng.choice("abeinst中😀") for _ in range(rng.randrange(40))) for _ in range(200)})
+    for held in (tokencount.HELD, 5, 20):  # long words: the nodes past `held` are made anew
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(tokencount, "HELD", held)
+            trie = tokencount.Trie(pieces)
+            assert [trie.count(w) for w in some] == [best(w) for w in some]
+            assert len(trie.path) <= held + 1
+
+
 
 # 4 ------------------------------------------------------------------------------------------------
 
