@@ -490,12 +490,13 @@ def test_wavelet_matrix(n):
 # 9 ------------------------------------------------------------------------------------------------
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("hot", [warc.HOT, 1])
+def test_warc(spark, tmp_path, hot):
     big, odd = "x" * 1500, "é" * 500
     rows = [(1, "http://a/1", big), (2, "http://a/2", big), (9, None, big), (3, "http://a/ b\r\nX: y", "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", odd), (8, "u", odd), (8, "u", odd), (None, "u", big), (None, "u", "y" * 2000), (10, "u", "WARC-Type: revisit\r\n\r\n" * 90)]
     df = spark.createDataFrame([(i, u, h, "z", "clash") for i, u, h in rows], "page_id long, url string, html string, digest string, payload string")
     archive = warc.write(df, f"file://{tmp_path}/warc")
-    records = warc.records_of(spark, archive)
+    records = warc.records_of(spark, archive, hot)
     got = Counter(tuple(r) for r in warc.facts_of(records).collect())
     want = Counter()
     for i, _, h in rows:
@@ -508,7 +509,10 @@ def test_warc(spark, tmp_path):
         head, _, body = bytes(r["record"]).partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.0\r\n") and bytes(r["record"]) == bytes(r["header"]) + (b"" if b"WARC-Type: revisit\r\n" in head else bytes(r["payload"])) + b"\r\n\r\n"
         assert b"\r\nX: y" not in head
-    assert spark.table(archive[0]).count() == len({h or "" for _, _, h in rows})
+    assert warc.payloads_of(spark, archive).count() == len({h or "" for _, _, h in rows})
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("warc_")]  # the archive is its folder
+    again = warc.facts_of(warc.records_of(spark.newSession(), archive, hot))
+    assert Counter(tuple(r) for r in again.collect()) == want
     empty = warc.write(df.limit(0), f"file://{tmp_path}/empty")
     assert warc.facts_of(warc.records_of(spark, empty)).count() == 0
 
