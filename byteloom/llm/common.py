@@ -187,6 +187,12 @@ def store_file(path: str, data: bytes) -> None:
     fs.move(part, at)
 
 
+def open_file(path: str):
+    """A file in the shared folder, open for reading at any place."""
+    fs, at = _fs(path)
+    return fs.open_input_file(at)
+
+
 def load_file(path: str) -> bytes:
     fs, at = _fs(path)
     with fs.open_input_stream(at) as src:

@@ -2,8 +2,9 @@
 
 A shard holds the ids of whole documents, in ascending doc_id order. For each bit of the
 ids, from the highest, it has a bit-plane; after each plane the ids are stably parted by that
-bit. A directory of ranks for every 512 bits gives rank in constant time, so that tokens can be
-read, counted and located from the compressed file without decoding it all (WaveletMatrix).
+bit. A directory of ranks for every 512 bits gives rank in constant time, and planes are compressed in
+pieces of 64 KB, so that tokens can be read, counted and located from the compressed file by reading the directories
+and the pieces they are in (WaveletMatrix, shard_at).
 
 Defined cases: null and empty texts give the end id alone; a null doc_id sorts first; repeated rows
 are separate documents, ordered by text; very long texts make a larger shard, since a shard
@@ -12,6 +13,7 @@ holds whole documents; an empty table writes no shard; other columns are ignored
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import re
@@ -32,65 +34,84 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAGIC = b"BWM1"
-BLOCK = 512
+MAGIC = b"BWM2"
+#: Bits of a block of the directory, and its bytes; bytes of a plane that are compressed together; pieces kept by a reader; positions looked up at once.
+BLOCK, WIDTH, PIECE, KEPT, AT_ONCE = 512, 64, 1 << 16, 256, 4096
+#: For each place in a block, a mask of the bits before it.
+_BELOW = np.packbits(np.tri(BLOCK, BLOCK, -1, dtype=bool), axis=1)
 #: Ids at which a shard is closed; words that a worker's memory of encodings holds; characters encoded at a time.
 SHARD_IDS, REMEMBERED, CHUNK = 4_000_000, 1_000_000, 4_000_000
 
 
 class WaveletMatrix:
-    """Reads one shard. Planes are decompressed when first used."""
+    """Reads one shard, from its bytes or from an open file: of a plane, its directory of ranks and the pieces that hold the wanted bits."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, source):
+        self.file = io.BytesIO(source) if isinstance(source, bytes) else source
+        if self._read(0, 4) != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        (size,) = struct.unpack_from("<I", data, 4)
-        self.head = json.loads(data[8 : 8 + size])
-        self.data, self.base = data, 8 + size
+        (size,) = struct.unpack("<I", self._read(4, 4))
+        self.head = json.loads(self._read(8, size))
+        self.base = 8 + size
         self.n, self.bits, self.zeros = self.head["n"], self.head["bits"], self.head["zeros"]
-        self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._directories: dict[int, np.ndarray] = {}
+        self._pieces: dict[tuple[int, int], np.ndarray] = {}
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(size)
 
     def _part(self, name: str) -> bytes:
-        at, size = self.head["parts"][name]
-        return zstandard.decompress(self.data[self.base + at : self.base + at + size])
+        return b"".join(zstandard.decompress(self._read(self.base + at, size)) for at, size in self.head["parts"][name])
 
     def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """doc_ids, whether each is there (not null), ids per document."""
         ids = np.frombuffer(self._part("doc_ids"), "<i8")
         return ids, np.frombuffer(self._part("known"), bool), np.frombuffer(self._part("lengths"), "<i8")
 
-    def plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """A bit-plane's bytes and the ones before each block of 512 bits."""
-        if level not in self._planes:
-            self._planes[level] = np.frombuffer(self._part(f"plane{level}"), np.uint8), np.frombuffer(self._part(f"ranks{level}"), "<u4").astype(np.int64)
-        return self._planes[level]
+    def _ranks(self, level: int) -> np.ndarray:
+        """Ones of a bit-plane before each block of 512 bits, and in all."""
+        if level not in self._directories:
+            self._directories[level] = np.frombuffer(self._part(f"ranks{level}"), "<u4").astype(np.int64)
+        return self._directories[level]
+
+    def _piece(self, level: int, k: int) -> np.ndarray:
+        """A piece of a bit-plane, a row for each block; the last ones used are kept, up to a bound."""
+        if (level, k) not in self._pieces:
+            if len(self._pieces) >= KEPT:
+                self._pieces.clear()
+            where = self.head["parts"][f"plane{level}"]
+            raw = zstandard.decompress(self._read(self.base + where[k][0], where[k][1])) if k < len(where) else b""
+            self._pieces[level, k] = np.frombuffer(raw + bytes(-len(raw) % WIDTH), np.uint8).reshape(-1, WIDTH)
+        return self._pieces[level, k]
+
+    def _blocks(self, level: int, block: np.ndarray) -> np.ndarray:
+        """The bytes of the given blocks of a bit-plane, a row each (0 beyond its end)."""
+        out, per = np.zeros((len(block), WIDTH), np.uint8), PIECE // WIDTH
+        for k in np.unique(block // per).tolist():
+            rows = self._piece(level, k)
+            here = np.flatnonzero((block // per == k) & (block - k * per < len(rows)))
+            out[here] = rows[block[here] - k * per]
+        return out
 
     def _rank1(self, level: int, i: np.ndarray) -> np.ndarray:
         """Ones before each position."""
-        plane, ranks = self.plane(level)
         block = i // BLOCK
-        out = ranks[block]
-        start = block * (BLOCK // 8)
-        for k in range(BLOCK // 8):
-            at = start + k
-            left = i - at * 8
-            used = left > 0
-            if not used.any():
-                break
-            byte = plane[np.minimum(at, len(plane) - 1)] if len(plane) else np.zeros_like(i, np.uint8)
-            keep = np.where(left >= 8, 255, (255 << (8 - np.clip(left, 0, 8))) & 255)
-            out = out + np.where(used, np.bitwise_count(byte & keep.astype(np.uint8)), 0)
-        return out
+        return self._ranks(level)[block] + np.bitwise_count(self._blocks(level, block) & _BELOW[i % BLOCK]).sum(axis=1, dtype=np.int64)
 
     def access(self, positions) -> np.ndarray:
         """The ids at the given positions."""
-        i, out = np.asarray(positions, np.int64), np.zeros(len(positions), np.int64)
-        for level in range(self.bits):
-            plane, _ = self.plane(level)
-            bit = (plane[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1
-            ones = self._rank1(level, i)
-            out = out << 1 | bit
-            i = np.where(bit == 1, self.zeros[level] + ones, i - ones)
+        wanted = np.asarray(positions, np.int64)
+        out = np.zeros(len(wanted), np.int64)
+        for start in range(0, len(wanted), AT_ONCE):
+            i, found = wanted[start : start + AT_ONCE], out[start : start + AT_ONCE]
+            for level in range(self.bits):
+                block, cell = i // BLOCK, i % BLOCK
+                rows = self._blocks(level, block)
+                bit = rows[np.arange(len(i)), cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1
+                ones = self._ranks(level)[block] + np.bitwise_count(rows & _BELOW[cell]).sum(axis=1, dtype=np.int64)
+                found[:] = found << 1 | bit
+                i = np.where(bit == 1, self.zeros[level] + ones, i - ones)
         return out
 
     def _range(self, symbol: int, start: int, end: int) -> tuple[int, int]:
@@ -117,28 +138,34 @@ class WaveletMatrix:
         start, end = self._range(symbol, 0, self.n)
         if not 0 <= k < end - start:
             raise IndexError(k)
-        at = start + k
+        return int(self._places(symbol, np.array([start + k], np.int64))[0])
+
+    def _places(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """Positions in the text of places below the last plane, where equal symbols are together."""
         for level in reversed(range(self.bits)):
             one = symbol >> (self.bits - 1 - level) & 1
             at = self._select(level, at - self.zeros[level] * one, one)
         return at
 
-    def _select(self, level: int, k: int, bit: int) -> int:
-        plane, ranks = self.plane(level)
+    def _select(self, level: int, k: np.ndarray, bit: int) -> np.ndarray:
+        ranks = self._ranks(level)
         before = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
-        block = int(np.searchsorted(before, k, "right")) - 1
-        cells = np.unpackbits(plane[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])
-        return block * BLOCK + int(np.flatnonzero(cells == bit)[k - before[block]])
+        block = np.searchsorted(before, k, "right") - 1
+        cells = np.unpackbits(self._blocks(level, block), axis=1) == bit
+        return block * BLOCK + (np.cumsum(cells, axis=1, dtype=np.int16) > (k - before[block])[:, None]).argmax(axis=1)
 
     def occurrences(self, symbol: int) -> np.ndarray:
-        return np.array([self.select(symbol, k) for k in range(self.count(symbol))], np.int64)
+        """The positions of a symbol, in order."""
+        start, end = self._range(symbol, 0, self.n)
+        parts = [self._places(symbol, np.arange(at, min(at + AT_ONCE, end))) for at in range(start, end, AT_ONCE)]
+        return np.concatenate([np.empty(0, np.int64), *parts])
 
     def ids(self) -> np.ndarray:
         """All ids: the planes are merged from the lowest bit up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         low = np.zeros(self.n, kind)
         for level in reversed(range(self.bits)):
-            bit = np.unpackbits(self.plane(level)[0], count=self.n).view(bool)
+            bit = np.unpackbits(np.frombuffer(self._part(f"plane{level}"), np.uint8), count=self.n).view(bool)
             z, out = self.zeros[level], np.empty(self.n, kind)
             out[np.flatnonzero(~bit)] = low[:z]
             out[np.flatnonzero(bit)] = low[z:] | kind(1 << (self.bits - 1 - level))
@@ -151,11 +178,13 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.nd
     squeeze = zstandard.ZstdCompressor(level=1).compress
     parts, body, at, zeros = {}, [], 0, []
 
-    def add(name: str, raw: bytes) -> None:
+    def add(name: str, raw: bytes, piece: int | None = None) -> None:
         nonlocal at
-        body.append(squeeze(raw))
-        parts[name] = [at, len(body[-1])]
-        at += len(body[-1])
+        parts[name] = []
+        for k in range(0, len(raw), piece or max(1, len(raw))):
+            body.append(squeeze(raw[k : k + piece] if piece else raw))
+            parts[name].append([at, len(body[-1])])
+            at += len(body[-1])
 
     add("doc_ids", doc_ids.astype("<i8").tobytes())
     add("known", known.astype(bool).tobytes())
@@ -165,7 +194,7 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, lengths: np.nd
         bit = (cur & cur.dtype.type(1 << (bits - 1 - level))).astype(bool)
         plane = np.packbits(bit)
         per_block = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), np.arange(0, len(plane), BLOCK // 8)) if len(plane) else np.empty(0, np.int64)
-        add(f"plane{level}", plane.tobytes())
+        add(f"plane{level}", plane.tobytes(), PIECE)
         add(f"ranks{level}", np.concatenate([[0], np.cumsum(per_block)]).astype("<u4").tobytes())
         zero = cur[np.flatnonzero(~bit)]  # positions, for speed: masks of mixed bits are slower
         zeros.append(len(zero))
@@ -338,6 +367,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shard_ids:
     return common.written(rows.mapInPandas(shards, "part int, seq int, path string, documents long, ids long"), f"{folder}/index")
 
 
+def shard_at(path: str) -> WaveletMatrix:
+    """A shard file, open for reading parts of it."""
+    return WaveletMatrix(common.open_file(path))
+
+
 def read(index: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the shard files that the index lists."""
     spark = index.sparkSession
@@ -351,6 +385,10 @@ def read(index: DataFrame) -> DataFrame:
             for path, offset in zip(pdf["path"], pdf["offset"]):
                 shard = WaveletMatrix(common.load_file(path))
                 ids = shard.ids()
+                # the parts that random access uses must agree with the whole
+                at = np.linspace(0, len(ids) - 1, 8).astype(np.int64)
+                if (shard.access(at) != ids[at]).any() or shard.count(int(ids[-1])) != (ids == ids[-1]).sum():
+                    raise ValueError(f"damaged shard: {path}")
                 doc_ids, known, lengths = shard.documents()
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[e - n : e].astype("<u4").tobytes()) for e, n in zip(ends, lengths)]

@@ -1,6 +1,7 @@
 """The ten operators on small tables with awkward rows, against brute force or exact round trips."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -475,7 +476,31 @@ def test_encoder_equals_the_library():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
 
 
-@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
+def test_wavelet_matrix_reads_parts(tmp_path):
+    """One token, a count and a place are read from a large file without reading most of it."""
+    n = 2_000_000
+    ids = np.random.default_rng(3).integers(0, 50_000, n).astype("<u2")
+    data = wavelet.pack(ids, np.array([1]), np.array([True]), np.array([n]), 16)
+    (tmp_path / "one.bwm").write_bytes(data)
+
+    class Counting(io.BytesIO):
+        taken = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            self.taken += len(out)
+            return out
+
+    file = Counting(data)
+    m = wavelet.WaveletMatrix(file)
+    assert m.access([1_234_567])[0] == ids[1_234_567] and file.taken < len(data) * 0.4
+    at = np.flatnonzero(ids == ids[5])
+    assert wavelet.shard_at(f"file://{tmp_path}/one.bwm").occurrences(int(ids[5])).tolist() == at.tolist()
+    some = np.random.default_rng(4).integers(0, n, 10_000)
+    assert (m.access(some) == ids[some]).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000, wavelet.PIECE * 8, wavelet.PIECE * 8 + 1])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 300, n).astype("<u2")
     m = wavelet.WaveletMatrix(wavelet.pack(ids, np.array([1]), np.array([True]), np.array([n]), 16))
