@@ -373,6 +373,21 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_takes_repeated_ids_and_rows_as_rows_of_their_own(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(120)]
+    rows += rows[:60] + [(50, [0.9] * 4), (50, [0.9] * 4), (3, [0.5] * 4)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for m, (q, a) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(whole) if n != m)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 # 7 ------------------------------------------------------------------------------------------------
 
 
