@@ -270,3 +270,60 @@ def test_files(spark, tmp_path):
     query.awaitTermination()
     back = spark.read.parquet(f"{tmp_path}/out").where("doc_id like '%.bin'")
     assert {r["doc_id"].rsplit("/", 1)[1][:-4]: bytes(r["data"]) for r in back.collect()} == {k: v for k, v in VECTORS.items() if v}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_block_steps_shuffle_nothing(data):
+    cut = blocks(data, 64)
+    per_block = [transforms.top_matches(cut), transforms.sort_matches(cut), transforms.bwt(cut), transforms.suffix_array(cut), transforms.lyndon(cut), transforms.bijective_bwt(cut), transforms.mtf(cut)]
+    for df in [*per_block, lz.rebuilt(lz.parsed(cut)), lz.tokens(cut), lz.repeated(data, 64), stats.match_hashes(data), codecs.coded_sizes(cut), codecs.huffman_rows(codecs.huffman_of(stats.facts(data)))]:
+        assert "Exchange" not in plan(df)
+
+
+def test_tokens_in_arrays_rebuild_their_blocks(data):
+    got = lz.rebuilt(lz.parsed(blocks(data, 512))).collect()
+    assert {(r["doc_id"], r["block_idx"]): bytes(r["back"]) for r in got} == {(k, b): v[b * 512 : b * 512 + 512] for k, v in VECTORS.items() for b in range(-(-len(v) // 512))}
+    assert all((o > 0) == (x < 0) for r in got for x, o in zip(r["lit"], r["off"]))
+    for r in lz.tokens(blocks(data, 512)).where("off is not null").groupBy("doc_id", "block_idx").agg(F.array_sort(F.collect_list(F.struct("seq", "off", "slot"))).alias("m")).collect():
+        assert [m["slot"] for m in r["m"]] == lz.repeat_slots(pd.Series([[m["off"] for m in r["m"]]]))[0]
+
+
+def test_matches_of_values_with_their_costs(data):
+    own = {(r["doc_id"], r["block_idx"], r["pos"]): r for r in lz.repeated(data, 64).collect()}
+    best = transforms.sort_matches(blocks(data, 64)).collect()
+    assert {k: (r["offset"], r["length"]) for k, r in own.items()} == {(r["doc_id"], r["block_idx"], r["pos"]): (r["offset"], r["length"]) for r in best}
+    costs = {(r["doc_id"], r["b"]): r["cost"] for r in stats.literal_costs(stats.histogram(data)).collect()}
+    for (k, b, p), r in own.items():
+        after = VECTORS[k][b * 64 : b * 64 + 64][p + r["length"] :]
+        assert r["next_cost"] == (costs[k, after[0]] if after else None)
+
+
+def test_block_transforms_of_large_blocks(spark):
+    rng = random.Random(5)
+    values = {"zeros": bytes(20_000), "ab": b"ab" * 9000, "abx": b"ab" * 9000 + b"x", "text": b" ".join(rng.choice([b"one", b"two", b"three", b"a longer phrase of words"]) for _ in range(3000)), "random": rng.randbytes(20_000)}
+    cut = blocks(spark.createDataFrame([(k, bytearray(v)) for k, v in values.items()], "doc_id string, data binary"), 20_000).where("block_idx = 0")
+    for r in transforms.bwt(cut).collect():
+        assert codecs.bwt_decode(r["primary_index"].to_bytes(4, "little") + bytes.fromhex(r["bwt"])) == values[r["doc_id"]][:20_000]
+    for r in transforms.suffix_array(cut.where("doc_id in ('text', 'random')")).collect():
+        x, order = values[r["doc_id"]][:20_000], [int(v) for v in r["suffixes"].split(",")]
+        assert sorted(order) == list(range(len(x))) and all(x[a:] < x[b:] for a, b in zip(order, order[1:]))
+    for r in transforms.bijective_bwt(cut).collect():
+        assert sum(map(int, r["lengths"].split(","))) == len(bytes.fromhex(r["bwt"])) == len(values[r["doc_id"]][:20_000])
+    assert {r["doc_id"]: [int(v) for v in r["ranks"].split(",")] for r in transforms.mtf(cut).collect()} == {k: list(codecs.mtf_encode(v[:20_000])) for k, v in values.items()}
+
+
+def test_pieces_are_bounded_in_bytes():
+    import pyarrow as pa
+
+    from byteloom.operators import pieces
+
+    values = [bytes([k % 7]) * (k % 50) for k in range(400)] + [None, bytes(5000), b""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(values))), pa.array(values, pa.binary())], ["k", "data"])
+    got = []
+    for rows, raw, ends in pieces.pieces(iter([batch.slice(3), batch.slice(0, 0)]), most=1000):
+        assert ends[-1] <= 1000 or len(rows) == 1
+        got += zip(rows.column("k").to_pylist(), [raw[a:z].tobytes() for a, z in zip(ends, ends[1:])])
+    assert got == [(k, v or b"") for k, v in enumerate(values)][3:]
