@@ -327,3 +327,12 @@ def test_pieces_are_bounded_in_bytes():
         assert ends[-1] <= 1000 or len(rows) == 1
         got += zip(rows.column("k").to_pylist(), [raw[a:z].tobytes() for a, z in zip(ends, ends[1:])])
     assert got == [(k, v or b"") for k, v in enumerate(values)][3:]
+
+
+def test_rans_of_whole_values(data):
+    from byteloom.operators import rans
+
+    got = rans.round_trip_of(data, 256)
+    assert "Exchange" not in plan(got)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rans.round_trip(blocks(data, 256), stats.normalised(stats.histogram(data), 12)).collect()))
+    assert got.where("not same").count() == 0
