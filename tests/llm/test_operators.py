@@ -353,6 +353,16 @@ def test_suffix_tree_without_rows(docs, none):
     assert [(r["n_tokens"], r["base_score"] <= 0) for r in blank] == [(1, True)] * 2
 
 
+def test_distinct_keys_and_lower_case():
+    rng = np.random.default_rng(3)
+    for n, bits in ((0, 40), (1, 64), (1, 1), (5000, 6), (5000, 40), (5000, 60), (5000, 64)):
+        keys = rng.integers(0, (1 << bits) - 1, n, np.uint64, endpoint=True)
+        for got, want in zip(suffixtree._distinct(keys), np.unique(keys, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+    for text in ("", "ABC xyz Z", "ÄÖ Éa İI ıi K ſ AZ@[`{ 日本 \U0001f600Q", "x\ud800Y"):
+        assert common.lower_ascii(text) == "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 
